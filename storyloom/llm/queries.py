@@ -17,6 +17,35 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_minhash": op2_minhash}
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), size=4096, end_id=2)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fmindex import contamination, digest
+
+    return digest(contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10))
+
+
+def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenfile import token_files
+
+    return token_files(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2).drop("ids")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash": op2_minhash,
+    "op5_packing": op5_packing,
+    "op7_decontamination": op7_decontamination,
+    "op8_token_file": op8_token_file,
+}
 
 ORACLE_SQL: dict[str, str] = {}
