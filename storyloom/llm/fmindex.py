@@ -237,7 +237,9 @@ def _scan(phrases: Phrases, extra: list[str], cleaned: bool):
                 new = pa.array(texts, pa.binary()).cast(pa.string())
                 old = rows.column(rows.schema.get_field_index("text"))
                 new = pa.array([None if not v else x for x, v in zip(new.to_pylist(), old.is_valid().to_pylist(), strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, new], names=[*extra, "text"])
+                left = np.concatenate([[0], np.cumsum(~mine)])[parts]
+                stays = pa.array((np.diff(parts) == 0) | (np.diff(left) > 0))
+                yield pa.RecordBatch.from_arrays([*columns, new], names=[*extra, "text"]).filter(stays)
             else:
                 spans = pa.StructArray.from_arrays([pa.array(a - parts[np.searchsorted(parts, a, side="right") - 1]), pa.array(b - parts[np.searchsorted(parts, b, side="right") - 1])], names=["first", "last"])
                 yield pa.RecordBatch.from_arrays(
@@ -306,7 +308,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """``docs`` with every hit span cut from its text; other columns stay as they are."""
+    """``docs`` with every hit span cut from its text; a document all of whose words are hit goes.
+
+    Other columns stay as they are; a text without words has no hits and stays.
+    """
     bounded_batches(docs.sparkSession)
     names, out = docs.columns, docs
     for b in _blocks(benchmark, window, item_col, "text"):
