@@ -9,21 +9,21 @@ from difflib import SequenceMatcher
 from urllib.parse import urljoin, urlparse
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gestalt(left: pd.Series, right: pd.Series) -> pd.Series:
     """Gestalt pattern ratio 2M / T, 0 if either is empty; the order of the two matters."""
     return pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda x: html.unescape(x) if x else x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def absolute_url(link: pd.Series, channel: pd.Series, base: pd.Series) -> pd.Series:
     """A feed entry's link against the channel's link, else the source's base."""
 
@@ -36,7 +36,7 @@ def absolute_url(link: pd.Series, channel: pd.Series, base: pd.Series) -> pd.Ser
     return pd.Series([one(*x) for x in zip(link, channel, base, strict=True)], dtype="object")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def public_host(host: pd.Series) -> pd.Series:
     """False for address literals of private, reserved or local networks, also inside mapped IPv6."""
 
@@ -52,7 +52,7 @@ def public_host(host: pd.Series) -> pd.Series:
     return host.map(one).astype("boolean")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def linked_data_date(block: pd.Series) -> pd.Series:
     """The first datePublished or dateCreated in a JSON-LD block, depth first."""
 
