@@ -72,7 +72,7 @@ def labelled_pairs(spark: SparkSession, path: str) -> DataFrame:
     """A JSONL file of labelled pairs without blank lines, ``#`` lines and unlabelled rows."""
     schema = "a_title string, b_title string, should_merge boolean, entities array<string>, event_type string, story_key_a string, story_key_b string, summary_a string, summary_b string"
     lines = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(#|$)"))
-    return lines.select(F.from_json("value", schema).alias("p")).select("p.*").filter("should_merge IS NOT NULL").withColumn("pair_id", F.xxhash64("a_title", "b_title"))
+    return lines.select(F.from_json("value", schema).alias("p")).select("p.*").filter("should_merge IS NOT NULL").withColumn("pair_id", F.pmod(F.xxhash64("a_title", "b_title"), F.lit(1 << 40)))
 
 
 def page_date(html: Column) -> Column:
