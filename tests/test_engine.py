@@ -24,7 +24,7 @@ def plan(df) -> str:
 
 def test_feed_plan(spark):
     got = plan(catalog.QUERIES["feed_any_tag_and_entity"](spark, DATA))
-    assert "LeftSemi" in got and "TakeOrderedAndProject" in got and "PushedFilters: [IsNotNull(o_orderstatus)" in got and "CartesianProduct" not in got
+    assert "LeftSemi" in got and "TakeOrderedAndProject" in got and "GreaterThanOrEqual(o_orderdate" in got and "CartesianProduct" not in got
 
 
 def test_limits_become_group_limits(spark):
