@@ -6,9 +6,11 @@ longs, and ``BANDS`` keys of ``ROWS`` minima.  Classes that share a band key are
 candidates; their similarity is estimated from the packed bits (corrected for chance
 collisions), and what is not clearly below the threshold is confirmed on full sets.
 
-Buckets need not emit all pairs.  Each member is first compared with the bucket's
-least id; components of the confirmed links then label the members, and only buckets
-that still hold several labels compare members of different labels.  Pairs of one label
+Buckets need not emit all pairs.  In each of ``TURNS`` turns a bucket's members are
+compared with one member, drawn by a hash of band, id and turn; components of the confirmed
+links label the members, and only buckets that still hold several labels go on.  At last
+those that are left compare members of different labels: small ones pair by pair, large ones
+in blocks of bounded size that hold the full sets and hand on links only.  Pairs of one label
 cannot change a component, so the result equals that of comparing all candidates.
 
 Defined results: null, empty or word-less texts have no shingles and link with nothing;
@@ -28,8 +30,12 @@ from . import words
 from .cluster import bounded_batches, components, staged
 
 PERMUTATIONS, BITS, BANDS, ROWS = 144, 4, 24, 6
-#: An estimate this far under the threshold is over six standard errors away.
-SLACK = 0.2
+#: An estimate this far under the threshold is nearly five standard errors away.
+SLACK = 0.15
+#: Turns in which each bucket's members are compared with one of them, another in each band and turn.
+TURNS = 2
+#: Buckets up to this size compare pairs as rows; larger ones in blocks of so many members.
+PAIRED, BLOCK_ROWS = 16, 512
 #: So many candidate ids may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -128,33 +134,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     reps = staged(reps.select("_id", "n_shingles", "sig", "bands"), "minhash-reps")
 
     keyed = reps.select(F.explode("bands").alias("band"), "_id")
-    met = keyed.groupBy("band").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).filter("first <> last").select("band", "first")
-    members = staged(keyed.join(met, "band"), "minhash-members")
-
+    met = keyed.groupBy("band").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo <> hi").select("band")
+    bucketed = staged(keyed.join(met, "band"), "minhash-members")
     light = reps.select("_id", "n_shingles", "sig")
-    leads = _likely(members.filter("_id <> first").select(F.col("_id").alias("a"), F.col("first").alias("b")).distinct(), light, percent)
-    links = staged(_confirmed(source, leads, shingle, percent), "minhash-links")
-    label = staged(components(links, "minhash-components"), "minhash-labels")
-
-    def labelled(df: DataFrame) -> DataFrame:
-        return df.join(label.withColumnRenamed("node", "_id"), "_id", "left").withColumn("comp", F.coalesce("comp", "_id"))
-
-    named = labelled(members.select("band", "_id"))
-    mixed = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
-    rest = staged(named.join(mixed, "band").join(light, "_id").select("band", "_id", "comp", "n_shingles", "sig"), "minhash-mixed")
-    if not rest.isEmpty():
-        x = rest.select("band", *(F.col(c).alias(f"x_{c.strip('_')}") for c in ("_id", "comp", "n_shingles", "sig")))
-        y = rest.select("band", *(F.col(c).alias(f"y_{c.strip('_')}") for c in ("_id", "comp", "n_shingles", "sig")))
-        near = F.col("x_id") < F.col("y_id")
-        near &= F.col("x_comp") != F.col("y_comp")
-        near &= F.least("x_n_shingles", "y_n_shingles") * 100 >= F.greatest("x_n_shingles", "y_n_shingles") * percent
-        near &= similarity("x_sig", "y_sig") >= percent / 100 - SLACK
-        more = x.join(y, (x["band"] == y["band"]) & near).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
-        more = staged(_confirmed(source, staged(more, "minhash-more"), shingle, percent), "minhash-links")
+    links, label, left = None, None, bucketed.withColumn("comp", F.col("_id"))
+    for turn in range(TURNS):
+        lead = left.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "_id", F.lit(turn)).alias("h"), "_id", "comp")).alias("lead"))
+        pairs = left.join(lead, "band").filter(F.col("comp") != F.col("lead.comp"))
+        pairs = pairs.select(F.least("_id", "lead._id").alias("a"), F.greatest("_id", "lead._id").alias("b")).distinct()
+        more = _confirmed(source, _likely(pairs, light, percent), shingle, percent)
+        links = staged(more if links is None else links.union(more), "minhash-links")
+        label = staged(components(links, "minhash-components"), "minhash-labels").withColumnRenamed("node", "_id")
+        named = bucketed.join(label, "_id", "left").withColumn("comp", F.coalesce("comp", "_id"))
+        mixed = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
+        bucketed = left = staged(named.join(mixed, "band"), "minhash-mixed")
+        if left.isEmpty():
+            break
+        bucketed = bucketed.drop("comp")
+    if not left.isEmpty():
+        # Bands often give one and the same set of members: each set is compared once.
+        per = left.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("_id").cast("decimal(38,0)")).alias("h"))
+        chosen = staged(left.join(per.groupBy("n", "h").agg(F.min("band").alias("band")).drop("h"), "band"), "minhash-chosen")
+        more = _confirmed(source, _paired(chosen.filter(F.col("n") <= PAIRED), light, percent), shingle, percent)
+        more = staged(more.union(_in_blocks(source, chosen.filter(F.col("n") > PAIRED), shingle, percent)), "minhash-links")
         if not more.isEmpty():
-            label = staged(components(links.select("a", "b").union(more.select("a", "b")), "minhash-components"), "minhash-labels")
+            label = staged(components(links.union(more), "minhash-components"), "minhash-labels").withColumnRenamed("node", "_id")
 
-    of_class = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("comp", "rep").alias("component_id"))
+    of_class = classes.join(label.withColumnRenamed("_id", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("comp", "rep").alias("component_id"))
     known = signed.filter("n_shingles > 0").select("_id", "n_shingles", "fp1", "fp2").join(of_class, ["fp1", "fp2"]).select("_id", "n_shingles", "component_id")
     bare = signed.filter("n_shingles = 0").select("_id", "n_shingles", F.col("_id").alias("component_id"))
     return known.union(bare).select(F.col("_id").alias("doc_id"), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -169,12 +175,84 @@ def _likely(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     return staged(both.filter(similarity("sa", "sb") >= percent / 100 - SLACK).select("a", "b"), "minhash-leads")
 
 
+def _paired(members: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs of different labels in buckets of at most ``PAIRED`` members."""
+    columns = ("_id", "comp", "n_shingles", "sig")
+    rest = members.join(light, "_id")
+    x = rest.select("band", *(F.col(c).alias(f"x_{c.strip('_')}") for c in columns))
+    y = rest.select("band", *(F.col(c).alias(f"y_{c.strip('_')}") for c in columns))
+    near = F.col("x_id") < F.col("y_id")
+    near &= F.col("x_comp") != F.col("y_comp")
+    near &= F.least("x_n_shingles", "y_n_shingles") * 100 >= F.greatest("x_n_shingles", "y_n_shingles") * percent
+    near &= similarity("x_sig", "y_sig") >= percent / 100 - SLACK
+    return staged(x.join(y, (x["band"] == y["band"]) & near).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), "minhash-more")
+
+
+def _in_blocks(source: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links of different labels in large buckets, whose members meet block by block with their full sets."""
+    ids = staged(members.select("_id").distinct(), "minhash-ids")
+    parts = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    cut = members.withColumn("part", F.pmod(F.xxhash64("_id"), parts).cast("int")).withColumn("mate", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cut = cut.select("band", F.least("part", "mate").alias("x"), F.greatest("part", "mate").alias("y"), "part", "_id", "comp")
+    dealt = cut.join(_own_sets(source, ids, shingle).select("_id", "own"), "_id")
+    return dealt.groupBy("band", "x", "y").applyInArrow(_block_links(percent), "a long, b long")
+
+
+def _block_links(percent: int):
+    def of(table: pa.Table) -> pa.Table:
+        ids, comp, part = (table.column(c).to_numpy() for c in ("_id", "comp", "part"))
+        own = table.column("own").combine_chunks()
+        size = np.diff(own.offsets.to_numpy())
+        row = np.repeat(np.arange(len(ids)), size)
+        _, token, count = np.unique(own.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        # Shingles of one member alone share nothing.
+        code = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[token]
+        row, code = row[code >= 0], code[code >= 0]
+        left, right = np.flatnonzero(part == table.column("x")[0].as_py()), np.flatnonzero(part == table.column("y")[0].as_py())
+        both = np.zeros((len(left), len(right)), np.int32)
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        for at in range(0, int(code[-1]) + 1 if len(code) else 0, 8192):
+            a, b = np.searchsorted(code, [at, at + 8192])
+            bits = np.zeros((len(ids), 8192), np.uint8)
+            bits[row[a:b], code[a:b] - at] = 1
+            bits = np.packbits(bits, axis=1).view(np.uint64)
+            there = bits[right]
+            for k, r in enumerate(left):
+                both[k] += np.bitwise_count(bits[r] & there).sum(axis=1, dtype=np.int32)
+        union = size[left][:, None] + size[right][None, :] - both
+        linked = (both.astype(np.int64) * 100 >= union.astype(np.int64) * percent) & (comp[left][:, None] != comp[right][None, :])
+        names, start = np.unique(comp, return_inverse=True)
+        root = np.arange(len(names))
+
+        def find(k):
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        out = []
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            p, q = find(start[left[i]]), find(start[right[j]])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((ids[left[i]], ids[right[j]]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return of
+
+
+def _own_sets(source: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """Full shingle sets of the documents in ``ids``, made again from their texts alone."""
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    own = source.join(wanted, "_id", "left_semi").mapInArrow(_sets(shingle), "_id long, own array<long>, fp long")
+    return staged(own.filter(F.size("own") > 0).dropDuplicates(["_id", "fp"]), "minhash-sets")
+
+
 def _confirmed(source: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs (a, b) that link by their full shingle sets, which are made again for these documents alone."""
     ids = staged(pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct(), "minhash-ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    own = source.join(wanted, "_id", "left_semi").mapInArrow(_sets(shingle), "_id long, own array<long>, fp long")
-    own = staged(own.filter(F.size("own") > 0).dropDuplicates(["_id", "fp"]), "minhash-sets")
+    own = _own_sets(source, ids, shingle)
     joined = pairs.join(own.select(F.col("_id").alias("a"), F.col("own").alias("sa")), "a").join(own.select(F.col("_id").alias("b"), F.col("own").alias("sb")), "b")
     shared = joined.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("s"))
     return shared.filter(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b")
