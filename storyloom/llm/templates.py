@@ -3,8 +3,10 @@
 Each page is parsed into elements (a tag scanner with the implied end tags of HTML, raw text
 elements and unclosed tags as browsers treat them).  Every element that could be a template
 block gets a hash of its whole subtree; Spark counts, per host, on how many different pages a
-hash stands, and subtrees on at least ``MIN_PAGES`` pages and ``SHARE`` of the host's pages are
-deleted.  With the share, a host's list has at most (its mean subtrees a page) / SHARE hashes.
+hash stands, and subtrees on at least ``MIN_PAGES`` pages are deleted, however many pages the
+host has.  A host's list may so grow with the host; a page is only given the hashes that stand
+on it and would change its text, by a join on (host, hash) and one on (host, page), so no row or
+task holds the list.
 Paragraphs and headings inside an article are content however often they recur, and copies
 of one page count once, so repeated articles stay.
 
@@ -28,9 +30,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .cluster import bounded_batches, staged
 
-MIN_PAGES, SHARE = 5, 0.05
-#: Hosts whose lists may be broadcast; more are joined by a shuffle.
-BROADCAST_HOSTS = 200_000
+MIN_PAGES = 5
+#: Pages whose lists may be broadcast; more are joined by a shuffle.
+BROADCAST_PAGES = 200_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</\s*([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -173,6 +175,16 @@ class Page:
         """Hashes of the subtrees that may be templates."""
         return {self.hash[k] for k in range(1, len(self.tag)) if self._candidate(k)}
 
+    def live(self) -> set[int]:
+        """Those of the candidates that hold some of the text; without the others it is the same."""
+        holds = [False] * len(self.tag)
+        for k, part in self.texts:
+            if part and not self.gone[k] and (self.inside[k] or not self.rooted) and not part.isspace():
+                holds[k] = True
+        for k in range(len(holds) - 1, 0, -1):
+            holds[self.parent[k]] |= holds[k]
+        return {self.hash[k] for k in range(1, len(holds)) if holds[k] and self._candidate(k)}
+
     def _candidate(self, k: int) -> bool:
         tag = self.tag[k]
         return tag not in WHOLE and tag not in RAW and tag != "head" and (tag in HOLDERS if self.inside[k] else tag in BLOCK)
@@ -216,15 +228,18 @@ class Page:
 
 def _hashes(batches):
     for batch in batches:
-        hosts, bodies, found = [], [], []
-        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        hosts, keys, bodies, found, live = [], [], [], [], []
+        for host, key, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             if html:
                 page = Page(html)
+                own = page.live()
                 for h in page.candidates():
                     hosts.append(host)
+                    keys.append(key)
                     bodies.append(page.body())
                     found.append(h)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(bodies, pa.int64())], names=["host", "hash", "body"])
+                    live.append(h in own)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(found, pa.int64()), pa.array(bodies, pa.int64()), pa.array(live, pa.bool_())], names=["host", "page", "hash", "body", "live"])
 
 
 def _texts(batches):
@@ -234,15 +249,24 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, templates): per host, the sorted hashes of subtrees that recur across its pages."""
+def site_templates(seen: DataFrame) -> DataFrame:
+    """(host, hash): subtrees that recur across a host's different pages; ``seen`` has (host, page, hash, body)."""
+    bodies = seen.select("host", "hash", "body").distinct()
+    return bodies.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES).select("host", "hash")
+
+
+def page_templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, page, templates): per page that has any, the host's templates that hold some of its text."""
     bounded_batches(pages.sparkSession, 500, "8m")
-    rows = pages.select(_host(url_col).alias("host"), F.col(html_col).alias("html"))
-    seen = rows.mapInArrow(_hashes, "host string, hash long, body long").distinct()
-    count = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES)
-    size = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    often = count.join(size, "host").filter(F.col("n") >= F.col("pages") * SHARE)
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("templates"))
+    rows = pages.select(_host(url_col).alias("host"), _page(id_col, html_col).alias("page"), F.col(html_col).alias("html"))
+    seen = staged(rows.mapInArrow(_hashes, "host string, page long, hash long, body long, live boolean"), "templates-seen")
+    found = seen.filter("live").select("host", "page", "hash").join(site_templates(seen), ["host", "hash"])
+    return found.groupBy("host", "page").agg(F.sort_array(F.collect_set("hash")).alias("templates"))
+
+
+def _page(id_col: str, html_col: str):
+    """The key of a page's html; two pages of one key only share their lists.  Pages without html are spread by id."""
+    return F.when(F.length(html_col) > 0, F.xxhash64(html_col)).otherwise(F.xxhash64(id_col))
 
 
 def _host(url_col: str):
@@ -251,8 +275,8 @@ def _host(url_col: str):
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
-    lists = staged(site_templates(pages, url_col, html_col), "templates")
-    wanted = F.broadcast(lists) if lists.count() <= BROADCAST_HOSTS else lists
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(url_col).alias("host"))
-    joined = rows.join(wanted, "host", "left").select("page_id", "url", "html", "templates")
+    lists = staged(page_templates(pages, id_col, url_col, html_col), "templates")
+    wanted = F.broadcast(lists) if lists.count() <= BROADCAST_PAGES else lists.hint("shuffle_hash")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(url_col).alias("host"), _page(id_col, html_col).alias("page"))
+    joined = rows.join(wanted, ["host", "page"], "left").select("page_id", "url", "html", "templates")
     return joined.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

@@ -139,6 +139,15 @@ def test_site_templates(spark):
     assert templates.main_text(frame).count() == len(made) and templates.main_text(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_templates_of_a_large_host(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(templates, "BROADCAST_PAGES", broadcast)
+    made = [(k, "https://a.com/", f"<body><div>Block {k // 6}</div><article><p>Text {k}</p></article><div>Notice {k // 4}</div><section>Part {k // 5}</section></body>".replace("article", "section")) for k in range(300)]
+    frame = spark.createDataFrame([*made, (300, "https://a.com/", None)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in templates.main_text(frame).collect()}
+    assert got == {300: ""} | {k: f"Text {k}\nNotice {k // 4}" for k in range(300)}
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
