@@ -523,7 +523,7 @@ def dictionary_entities(m):
 
 @query()
 def gestalt_title_pairs(m):
-    scored = clustering.pair_scores(_title_pairs(m)).filter("jaccard > 0")
+    scored = clustering.pair_scores(_title_pairs(m))
     return scored.select("id", "jaccard", F.round(udfs.gestalt(F.col("left_key"), F.col("right_key")), 6).alias("ratio"))
 
 

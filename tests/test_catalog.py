@@ -1,9 +1,11 @@
 import math
+from difflib import SequenceMatcher
 
 import duckdb
 import pytest
 
 import __spark_entry__ as registry
+from storyloom.operators import clustering
 from storyloom.plans import catalog
 
 from conftest import DATA
@@ -41,6 +43,16 @@ def test_rows(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_gestalt_of_every_title_pair(spark):
+    m = catalog.Model(spark, DATA)
+    want = {r["id"]: (r["left"], r["right"]) for r in catalog._title_pairs(m).collect()}
+    got = catalog.QUERIES["gestalt_title_pairs"](spark, DATA).collect()
+    assert len(got) == len(want) and {r["id"] for r in got} == set(want)
+    keys = {r["id"]: (r["left_key"], r["right_key"]) for r in clustering.pair_scores(catalog._title_pairs(m)).collect()}
+    assert all(r["ratio"] == round(SequenceMatcher(None, *keys[r["id"]]).ratio() if all(keys[r["id"]]) else 0.0, 6) for r in got)
+    assert any(r["jaccard"] == 0 and r["ratio"] > 0 for r in got)
+
+
 def test_entry(spark):
     assert registry.entry(spark).count() > 0
     assert set(registry.oracle_sql()) <= set(registry.queries())
