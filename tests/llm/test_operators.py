@@ -148,6 +148,14 @@ def test_templates_of_a_large_host(spark, monkeypatch, broadcast):
     assert got == {300: ""} | {k: f"Text {k}\nNotice {k // 4}" for k in range(300)}
 
 
+def test_templates_beside_a_group_of_copies(spark):
+    page = "<body><div>Menu of all</div><section>Text {k}</section></body>"
+    made = [(k, "https://a.com/", page.format(k=k)) for k in range(20)] + [(k, "https://a.com/", page.format(k="copied")) for k in range(20, 1020)]
+    frame = spark.createDataFrame([*made, *((k, "https://a.com/", None) for k in range(2000, 2100))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in templates.main_text(frame).collect()}
+    assert [got[k] for k in range(20)] == [f"Text {k}" for k in range(20)] and {got[k] for k in range(20, 1020)} == {"Text copied"}
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
