@@ -4,8 +4,10 @@ Runs of 1 to 4 bytes of the lowered letters (all else is one space) are hashed i
 ``WIDTH`` places.  Document frequencies come from all training rows.  Each language has up to
 ``CENTROIDS`` unit centroids, made by spherical k-means from at most about ``SAMPLE`` of its rows,
 drawn by a hash of id and text.  A text goes to the language of the centroid of greatest
-cosine; it is rejected if that cosine is below ``REJECT`` times the ``QUANTILE`` of the
-sample's own cosines in that language.
+cosine.  What cosine to expect grows with a text's distinct n-grams n as sqrt(n / (n + ``HALF``));
+a text is rejected if its cosine, over that, is below ``MARGIN`` times the ``QUANTILE`` of the
+language's different sample rows, each half of them held against the centroids of the other half.
+A language of one such row takes the least limit of the others.
 
 Defined results: a null text or one without letters is ``und`` with score 0 and rejected; ties
 go to the first language by name; rows without a lang are not learned from; without any
@@ -14,6 +16,8 @@ training rows every text is ``und``; repeated rows have equal results; extra col
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -22,7 +26,7 @@ from . import words
 from .cluster import bounded_batches, staged
 
 WIDTH, CENTROIDS, SAMPLE = 4096, 3, 400
-REJECT, QUANTILE = 0.25, 0.01
+QUANTILE, MARGIN, HALF = 0.01, 0.9, 800
 #: Texts whose dense vectors are held at once.
 ROWS = 256
 
@@ -61,6 +65,12 @@ def unit(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def expected(x: np.ndarray) -> np.ndarray:
+    """What the cosine of a clean text goes with, per row of counts."""
+    n = (x > 0).sum(axis=1)
+    return np.sqrt(n / (n + HALF))
+
+
 def _vectors(batch: pa.RecordBatch, column: str = "text"):
     for at in range(0, len(batch), ROWS):
         for rows, data, offsets in words.slices(batch.slice(at, ROWS), column):
@@ -99,6 +109,18 @@ def cluster(x: np.ndarray, k: int, turns: int = 10) -> np.ndarray:
     return centre
 
 
+def least(x: np.ndarray, idf: np.ndarray) -> float | None:
+    """The limit of a language from its sample's counts."""
+    x = np.unique(x, axis=0)
+    if len(x) < 2:
+        return None
+    # In an order of their own, so neighbours in value are not of one half.
+    x = x[np.argsort([zlib.crc32(row.tobytes()) for row in x], kind="stable")]
+    near, size = unit(x.astype(np.float64), idf), expected(x)
+    halves = [(near[k::2] @ cluster(near[1 - k :: 2], CENTROIDS).T).max(axis=1) / size[k::2] for k in (0, 1)]
+    return MARGIN * float(np.quantile(np.concatenate(halves), QUANTILE))
+
+
 class Centroids:
     def __init__(self, idf: np.ndarray, of: dict[str, np.ndarray], limits: dict[str, float]):
         self.idf, self.names = idf, sorted(of)
@@ -114,7 +136,7 @@ class Centroids:
         best = near.argmax(axis=1)
         cosine = np.clip(near[np.arange(len(x)), best], 0, 1)
         lang = self.owner[best]
-        return [self.names[k] for k in lang], cosine, cosine < self.limit[lang]
+        return [self.names[k] for k in lang], cosine, cosine < self.limit[lang] * expected(x)
 
 
 def held(modulus: int = 4, remainder: int = 2) -> Column:
@@ -137,11 +159,12 @@ def fit(docs: DataFrame) -> Centroids:
     of, limits = {}, {}
     for lang in sorted(r["lang"] for r in sizes.collect()):
         x = np.array([r["x"] for r in drawn.filter(F.col("lang") == lang).select("x").collect()], dtype=np.float32).reshape(-1, WIDTH)
-        x = unit(x[x.sum(axis=1) > 0].astype(np.float64), idf)
+        x = x[x.sum(axis=1) > 0]
         if len(x):
-            of[lang] = cluster(x, CENTROIDS)
-            limits[lang] = REJECT * float(np.quantile((x @ of[lang].T).max(axis=1), QUANTILE))
-    return Centroids(idf, of, limits)
+            of[lang] = cluster(unit(x.astype(np.float64), idf), CENTROIDS)
+            limits[lang] = least(x, idf)
+    lowest = min((v for v in limits.values() if v is not None), default=0.0)
+    return Centroids(idf, of, {k: lowest if v is None else v for k, v in limits.items()})
 
 
 def _predicted(model: Centroids):

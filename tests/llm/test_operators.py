@@ -1,5 +1,6 @@
 """Operators over small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import base64
 import hashlib
 import random
 import re
@@ -258,6 +259,27 @@ def test_languages(docs):
     assert langid.languages(docs.limit(0)).count() == 0
 
 
+FOREIGN = {
+    "it": "Il governo ha annunciato ieri nuove misure per sostenere le famiglie. Secondo gli esperti, il provvedimento potrebbe avere effetti positivi sulla crescita economica del paese.",
+    "nl": "De regering heeft gisteren nieuwe maatregelen aangekondigd om gezinnen te steunen. Volgens deskundigen kan het besluit de komende jaren een gunstig effect hebben op de groei.",
+    "pl": "Rząd ogłosił wczoraj nowe środki wsparcia dla rodzin. Zdaniem ekspertów decyzja ta może mieć pozytywny wpływ na wzrost gospodarczy kraju w najbliższych latach.",
+    "fi": "Hallitus ilmoitti eilen uusista toimista perheiden tukemiseksi. Asiantuntijoiden mukaan päätöksellä voi olla myönteisiä vaikutuksia maan talouskasvuun tulevina vuosina.",
+    "ru": "Правительство вчера объявило о новых мерах поддержки семей. По мнению экспертов, решение может положительно повлиять на экономический рост страны.",
+    "zh": "政府昨天宣布了支持家庭的新措施。专家认为，这一决定在未来几年可能对国家的经济增长产生积极影响。",
+    "hex": hashlib.sha512(b"a").hexdigest() * 5,
+    "base64": base64.b64encode(random.Random(1).randbytes(600)).decode(),
+}
+
+
+def test_languages_not_learned_are_rejected(spark):
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(10_000_000 + k, t, None) for k, t in enumerate(FOREIGN.values())], "doc_id long, text string, lang string")
+    got = langid.languages(base.union(odd)).collect()
+    assert all(r["rejected"] for r in got if r["doc_id"] >= 10_000_000)
+    clean = [r["rejected"] for r in got if r["held_out"] and r["doc_id"] < 10_000_000]
+    assert np.mean(clean) <= 0.02
+
+
 def test_url_filter(spark):
     listed = [("block", "add", "domain", "bad.com", "2024-01-10"), ("block", "remove", "domain", "bad.com", "2024-02-01"), ("block", "add", "domain", "Bad.com", "2024-03-01"), ("allow", "add", "host", "www.bad.com", "2024-03-10"), ("block", "add", "host", "one.org", "2024-01-01"), ("block", "add", "domain", None, "2024-01-01"), ("block", "add", "host", "one.org", "2024-01-01")]
     lists = spark.createDataFrame(listed, "list string, action string, kind string, key string, at string").withColumn("at", F.to_timestamp("at"))
