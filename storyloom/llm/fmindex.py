@@ -193,8 +193,22 @@ _HITS = "_id long, n_words long, spans array<struct<first:long,last:long>>, item
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
+def _brought(rows: pa.RecordBatch, parts: np.ndarray, count: int) -> np.ndarray:
+    """The words in the rows' own column of spans, if there is one."""
+    mark, at = np.zeros(count + 1, np.int64), rows.schema.get_field_index("spans")
+    if at >= 0:
+        size, flat = rows.column(at).value_lengths().to_numpy(zero_copy_only=False), rows.column(at).flatten()
+        base = np.repeat(parts[:-1], size)
+        np.add.at(mark, base + flat.field("first").to_numpy(), 1)
+        np.add.at(mark, base + flat.field("last").to_numpy() + 1, -1)
+    return np.cumsum(mark[:-1]) > 0
+
+
 def _scan(phrases: Phrases, extra: list[str], cleaned: bool):
-    """extra: columns handed on; cleaned: give the text without the hit spans instead of the spans."""
+    """extra: columns handed on; cleaned: give the text without the hit spans instead of the spans.
+
+    Spans that the rows bring along from other blocks count as hit.
+    """
 
     def search(symbols, first, count):
         at, phrase = occurrences(symbols, first, phrases)
@@ -213,7 +227,7 @@ def _scan(phrases: Phrases, extra: list[str], cleaned: bool):
         hit, pairs = search(symbols, first, len(symbols))
         docs, base = 0, 0
         for rows, own, parts, data, offsets, starts, stops in held:
-            mine = hit[base : base + len(own)]
+            mine = hit[base : base + len(own)] | _brought(rows, parts, len(own))
             before = np.concatenate([[False], mine[:-1]])
             before[parts[:-1][parts[:-1] < len(mine)]] = False
             after = np.concatenate([mine[1:], [False]])[: len(mine)]
@@ -254,11 +268,12 @@ def _scan(phrases: Phrases, extra: list[str], cleaned: bool):
             for rows, data, offsets in words.slices(batch, "text"):
                 low, starts, stops, first = words.find(data, offsets, ASCII_WORDS)
                 own = phrases.map(words.hashes(low, starts, stops))
+                texts = cleaned or "text" in extra
                 if not cleaned:
                     starts = stops = data = None
                 held.append((rows, own, first, data, offsets, starts, stops))
                 indexed, count = indexed + int((own > 0).sum()), count + len(own)
-                if indexed >= SHARD_INDEXED or count >= SHARD_WORDS or cleaned and count >= SHARD_WORDS // 4:
+                if indexed >= SHARD_INDEXED or count >= SHARD_WORDS or texts and count >= SHARD_WORDS // 4:
                     yield from give(held)
                     held, indexed, count = [], 0, 0
         if held:
@@ -313,14 +328,18 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text
     Other columns stay as they are; a text without words has no hits and stays.
     """
     bounded_batches(docs.sparkSession)
-    names, out = docs.columns, docs
-    for b in _blocks(benchmark, window, item_col, "text"):
-        rest = [c for c in names if c != text_col]
-        plain = out.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(rest)), F.col(text_col).alias("text"))
-        schema = ", ".join([*(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(rest)), "text string"])
-        done = plain.mapInArrow(_scan(b, [f"c{k}" for k in range(len(rest))], True), schema)
-        out = done.select(*(F.col("text").alias(c) if c == text_col else F.col(f"c{rest.index(c)}").alias(c) for c in names))
-    return out
+    names = docs.columns
+    rest = [c for c in names if c != text_col]
+    own = [f"c{k}" for k in range(len(rest))]
+    schema = ", ".join([*(f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(own, rest, strict=True)), "text string"])
+    out = docs.select(*(F.col(c).alias(k) for k, c in zip(own, rest, strict=True)), F.col(text_col).alias("text"))
+    *blocks, last = _blocks(benchmark, window, item_col, "text")
+    # All blocks meet the text as it came; the spans go along and are cut at once.
+    for b in blocks:
+        found = out.mapInArrow(_scan(b, [*own, "text"], False), schema + _HITS.removeprefix("_id long"))
+        out = found.drop("n_words", "items")
+    done = out.mapInArrow(_scan(last, own, True), schema)
+    return done.select(*(F.col("text").alias(c) if c == text_col else F.col(own[rest.index(c)]).alias(c) for c in names))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -229,6 +229,19 @@ def test_decontaminated_text(spark):
     assert rows(fmindex.decontaminated(frame, bench), "doc_id", "text", "lang") == [(1, "Keep this. ! And this", "x"), (3, None, "z"), (4, "!!", "w"), (5, "a b c", "v")]
 
 
+def test_decontaminated_text_of_several_blocks(spark, docs, monkeypatch):
+    passage = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(passage[k : k + 15])) for k in range(0, 26, 5)] + [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    more = spark.createDataFrame([(2000, f"keep {' '.join(passage)} this"), (2001, " ".join(passage))], "doc_id long, text string")
+    frame = docs.select("doc_id", "text").union(more)
+    want = rows(fmindex.decontaminated(frame, bench), "doc_id", "text")
+    monkeypatch.setattr(fmindex, "BLOCK_WORDS", 300)
+    assert len(fmindex._blocks(bench, 10, "item_id", "text")) > 2
+    assert rows(fmindex.decontaminated(frame, bench), "doc_id", "text") == want
+    assert (2000, "keep  this") in want and not any(i == 2001 for i, _ in want)
+
+
 def test_token_files(docs):
     from tokenizers import Tokenizer
 
