@@ -12,8 +12,8 @@ its links, not its pairs.  Components of these links are then counted out exactl
 linked vectors are of one component, whose rows are compared block by block, so ``n_links``
 has every link inside it.  Equal vectors are one row with a multiplicity throughout.
 
-Defined results: null or zero vectors, vectors with null or non-finite components and those
-of another length than the table's most common one link with nothing; repeated rows link
+Defined results: null or zero vectors and vectors with null or non-finite components link with
+nothing; vectors link within their length, each length by a join of its own; repeated rows link
 with each other; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -168,13 +168,16 @@ def near_vectors(rows: DataFrame, least: float = 0.95, id_col: str = "vec_id", v
     inf = F.lit(float("inf")).cast("double")
     fine = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e).cast("double") < inf)) & F.exists("v", lambda e: e != 0)
     source = source.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    common = source.filter("fine").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = common["dim"] if common else 0
-    source = source.withColumn("fine", F.col("fine") & (F.size("v") == dim))
-    loose = source.filter(~F.col("fine")).select(F.col("_id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not dim:
-        return loose
-    good = staged(source.filter("fine").withColumn("key", F.sha2(F.transform("v", lambda e: e + F.lit(0.0).cast("float")).cast("string").cast("binary"), 256)).select("_id", "key", "v"), "lattice-rows")
+    lengths = [r["dim"] for r in source.filter("fine").select(F.size("v").alias("dim")).distinct().orderBy("dim").collect()]
+    out = source.filter(~F.col("fine")).select(F.col("_id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
+    for dim in lengths:
+        out = _of_length(source.filter(F.col("fine") & (F.size("v") == dim)), dim, least).union(out)
+    return out
+
+
+def _of_length(source: DataFrame, dim: int, least: float) -> DataFrame:
+    """The same of vectors that are all of length ``dim`` and none of them zero."""
+    good = staged(source.withColumn("key", F.sha2(F.transform("v", lambda e: e + F.lit(0.0).cast("float")).cast("string").cast("binary"), 256)).select("_id", "key", "v"), "lattice-rows")
     classes = staged(good.groupBy("key").agg(F.min("_id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")), "lattice-classes")
     vectors = classes.select("id", "copies", "v")
     cells = staged(vectors.select("id", "v").mapInArrow(_cells(dim), "cell long, id long"), "lattice-cells")
@@ -187,5 +190,4 @@ def near_vectors(rows: DataFrame, least: float = 0.95, id_col: str = "vec_id", v
     counted = _in_blocks(linked, "comp", inner).groupBy("comp", "x", "y").applyInArrow(_count(dim, least), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     of_class = classes.select("key", "id", "copies").join(labels, "id", "left").join(counted, "id", "left")
     of_class = of_class.select("key", (F.coalesce("n", "copies") - 1).alias("n_links"), F.coalesce("comp", "id").alias("component_id"))
-    known = good.select("_id", "key").join(of_class, "key").select(F.col("_id").alias("vec_id"), "n_links", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    return known.union(loose)
+    return good.select("_id", "key").join(of_class, "key").select(F.col("_id").alias("vec_id"), "n_links", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))

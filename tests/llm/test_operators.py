@@ -129,6 +129,15 @@ def test_near_vectors(spark, monkeypatch):
     assert lattice.near_vectors(frame.limit(0)).count() == lattice.near_vectors(frame.filter("vec_id = 1000")).count() - 1 == 0
 
 
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(3)
+    made = [(k, rng.normal(size=n).tolist()) for k, n in enumerate([64] * 5 + [32] * 3)]
+    made += [(10 + k, v) for k, v in made] + [(20, None), (21, [0.0] * 32)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in lattice.near_vectors(spark.createDataFrame(made, "vec_id long, embedding array<float>")).collect()}
+    want = {k: (1, k, True) for k in range(8)} | {10 + k: (1, k, False) for k in range(8)} | {k: (0, k, True) for k in (20, 21)}
+    assert got == want
+
+
 def test_site_templates(spark):
     page = '<body><div>Follow us on {host}</div><div class="ad">x</div><article><h1>T{k}</h1><p>Text of page {k}</p><p>A passage that all share</p></article><div>Unique {k}</div></body>'
     made = [(k, f"https://{h}.com/{k}", page.format(host=h, k=k).replace("article", "section")) for h in "ab" for k in range(8)]
