@@ -1,4 +1,8 @@
 import math
+import os
+import shutil
+import subprocess
+import sys
 from difflib import SequenceMatcher
 
 import duckdb
@@ -8,7 +12,7 @@ import __spark_entry__ as registry
 from storyloom.operators import clustering
 from storyloom.plans import catalog
 
-from conftest import DATA
+from conftest import DATA, ROOT
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -56,3 +60,19 @@ def test_gestalt_of_every_title_pair(spark):
 def test_entry(spark):
     assert registry.entry(spark).count() > 0
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+@pytest.mark.parametrize("gone", [["storyloom/llm", "tests/llm"], ["storyloom/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_registry_without_the_training_data_part(tmp_path, gone):
+    """The rest imports and registers its queries whichever half of that part is deleted."""
+    root = tmp_path / "copy"
+    shutil.copytree(ROOT, root, ignore=shutil.ignore_patterns(".git", "__pycache__", "*.md", "*.json"))
+    for name in gone:
+        path = root / name
+        shutil.rmtree(path) if path.is_dir() else path.unlink(missing_ok=True)
+    code = "import __spark_entry__ as r; q, o = r.queries(), r.oracle_sql(); assert set(o) <= set(q) and 'feed_page' in q; print(*q)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=root, env=env, capture_output=True, text=True)
+    assert run.returncode == 0, run.stderr
+    names = run.stdout.split()
+    assert "pipeline" not in names and any(n.startswith("op1_") for n in names) == (gone == ["corpus_pipeline.py"])
