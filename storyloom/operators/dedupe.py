@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import urls
-from ..plans.staging import checkpointed
+from ..plans.staging import staged
 
 
 def keyed(items: DataFrame) -> DataFrame:
@@ -31,15 +31,15 @@ def greedy(items: DataFrame, history: DataFrame | None = None) -> DataFrame:
         seen = pairs.join(keyed(history).select("key").distinct(), "key", "left_semi").select("id").distinct()
         pairs = pairs.join(seen, "id", "left_anti")
         items = items.join(seen, "id", "left_anti")
-    undecided, kept = checkpointed(pairs.distinct()), None
+    undecided, kept = staged(pairs.distinct(), "dedupe-pairs"), None
     while not undecided.isEmpty():
         first = undecided.groupBy("key").agg(F.min("id").alias("first"))
         joined = undecided.join(first, "key")
-        won = checkpointed(joined.groupBy("id").agg(F.bool_and(F.col("first") == F.col("id")).alias("won")).filter("won").select("id"))
+        won = staged(joined.groupBy("id").agg(F.bool_and(F.col("first") == F.col("id")).alias("won")).filter("won").select("id"), "dedupe-kept")
         kept = won if kept is None else kept.union(won)
         taken = undecided.join(won, "id", "left_semi").select("key").distinct()
         gone = undecided.join(taken, "key", "left_semi").select("id").distinct()
-        undecided = checkpointed(undecided.join(gone, "id", "left_anti"))
+        undecided = staged(undecided.join(gone, "id", "left_anti"), "dedupe-pairs")
     bare = items.join(keyed(items).select("id").distinct(), "id", "left_anti")
     return bare if kept is None else items.join(kept, "id", "left_semi").union(bare)
 

@@ -33,14 +33,16 @@ def quality(merged: DataFrame) -> DataFrame:
     return merged.agg(*classify.confusion(F.col("should_merge"), F.col("merged")))
 
 
-def candidate_pairs(variants: DataFrame, limit: int | None = None) -> DataFrame:
-    """Pairs (earlier, later) of the articles of one story, to be labelled; ``limit`` per story if given."""
-    order = Window.partitionBy("cluster_id").orderBy("published_at", "id")
-    placed = variants.withColumn("n", F.row_number().over(order))
-    a = placed.select("cluster_id", F.col("id").alias("a_id"), F.col("n").alias("na"))
-    b = placed.select("cluster_id", F.col("id").alias("b_id"), F.col("n").alias("nb"))
-    pairs = a.join(b, "cluster_id").filter("na < nb")
-    if limit is not None:
-        rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("na", "nb"))
-        pairs = pairs.withColumn("k", rank).filter(F.col("k") <= limit)
-    return pairs.select("cluster_id", "a_id", "b_id")
+def candidate_pairs(variants: DataFrame, limit: int = 400) -> DataFrame:
+    """The first ``limit`` pairs (earlier, later) of articles of one story, by story and time, to be labelled.
+
+    Every story of several articles has a pair, so ``limit`` stories hold the answer; of those, only
+    the stories before the limit is reached and only so many articles of each are joined.
+    """
+    first = variants.groupBy("cluster_id").agg(F.count("*").alias("n")).filter("n > 1").orderBy("cluster_id").limit(limit)
+    before = F.sum(F.expr("n * (n - 1) / 2")).over(Window.orderBy("cluster_id").rowsBetween(Window.unboundedPreceding, -1))
+    first = first.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < limit).select("cluster_id")
+    placed = variants.join(F.broadcast(first), "cluster_id").select("cluster_id", "id", F.row_number().over(Window.partitionBy("cluster_id").orderBy("published_at", "id")).alias("n"))
+    placed = placed.filter(F.col("n") <= limit + 1)
+    a, b = (placed.select("cluster_id", F.col("id").alias(f"{x}_id"), F.col("n").alias(f"n{x}")) for x in "ab")
+    return a.join(b, "cluster_id").filter("na < nb").orderBy("cluster_id", "na", "nb").limit(limit).select("cluster_id", "a_id", "b_id")

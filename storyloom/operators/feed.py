@@ -88,9 +88,11 @@ def related(relations: DataFrame, clusters: DataFrame, limit: int = 3) -> DataFr
 
 
 def strongest_relations(relations: DataFrame, limit: int = 5) -> DataFrame:
-    """Relations that are among the strongest ``limit`` of both their clusters."""
-    best = lambda c: Window.partitionBy(c).orderBy(F.desc_nulls_last("score"), "a", "b")
-    return relations.withColumn("na", F.row_number().over(best("a"))).withColumn("nb", F.row_number().over(best("b"))).filter((F.col("na") <= limit) & (F.col("nb") <= limit)).drop("na", "nb")
+    """Relations that neither of their clusters prunes: a cluster keeps its strongest ``limit``, whichever end of them it is."""
+    best = Window.partitionBy("cluster_id").orderBy(F.desc_nulls_last("score"), "a", "b")
+    ends = relations.select("a", "b", "score", F.explode(F.array("a", "b")).alias("cluster_id"))
+    kept = ends.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= limit)
+    return kept.groupBy("a", "b", "score").agg(F.count("*").alias("ends")).filter("ends = 2").select("a", "b", "score")
 
 
 def variant_order(literal: bool = False) -> list[Column]:

@@ -11,6 +11,7 @@ from ..operators import classify, clustering, dedupe, evaluation, feed, maintena
 from ..schemas import SOURCE_CATEGORY, category_rank, ordinal
 from ..streaming import jobs
 from . import views
+from .staging import stage_path
 from .views import AS_OF, CLUSTERS, ENTITIES, LOGS, RELATIONS, SOURCES, TITLES, VARIANTS, Model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,9 +117,11 @@ def related_top3_limit_then_filter(m):
     return feed.related(m.relations(), m.clusters()).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {RELATIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC NULLS LAST, a, b) AS x, row_number() OVER (PARTITION BY b ORDER BY score DESC NULLS LAST, a, b) AS y FROM relations) SELECT a, b, round(score, 6) AS score FROM r WHERE x <= 1 AND y <= 1")
+@query(f"""WITH {RELATIONS}, ends AS (SELECT a, b, score, a AS own FROM relations UNION ALL SELECT a, b, score, b FROM relations),
+stale AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC NULLS LAST, a, b) AS n FROM ends) WHERE n > 5)
+SELECT a, b, round(score, 6) AS score FROM relations r WHERE NOT EXISTS (SELECT 1 FROM stale s WHERE s.a = r.a AND s.b = r.b)""")
 def relations_pruned(m):
-    return feed.strongest_relations(m.relations(), 1).withColumn("score", F.round("score", 6))
+    return feed.strongest_relations(m.relations(), 5).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH {VARIANTS}, o AS (SELECT *, CASE category WHEN 'official' THEN 0 WHEN 'press' THEN 1 ELSE 2 END AS k FROM variants)
@@ -181,7 +184,7 @@ def multi_variant_clusters(m):
 
 
 @query(f"""WITH {VARIANTS}, o AS (SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY published_at, id) AS n FROM variants)
-SELECT a.cluster_id, a.id AS a_id, b.id AS b_id FROM o a JOIN o b ON a.cluster_id = b.cluster_id AND a.n < b.n""")
+SELECT a.cluster_id, a.id AS a_id, b.id AS b_id FROM o a JOIN o b ON a.cluster_id = b.cluster_id AND a.n < b.n ORDER BY a.cluster_id, a.n, b.n LIMIT 400""")
 def candidate_pairs(m):
     return evaluation.candidate_pairs(m.raw_variants())
 
@@ -579,14 +582,20 @@ def alert_dedupe(m):
 
 
 def _streamed(m: Model, table: str, build, mode: str, name: str) -> DataFrame:
-    """Runs a stream over the table's files to its end into the shared folder and reads the result."""
-    import uuid
-
-    schema = m.table(table).schema
-    out = f"memory_{name}_{uuid.uuid4().hex[:8]}"
-    source = m.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(m.sf_dir)
-    jobs.run(build(source).writeStream.format("memory").queryName(out).outputMode(mode).trigger(availableNow=True).start())
-    return m.spark.table(out)
+    """Runs a stream over the table's files to its end; state, log and result are in the shared folder.
+
+    ``append`` goes through the exactly-once file sink; in ``complete`` mode each batch replaces the table.
+    """
+    folder = stage_path(m.spark, f"stream-{name}")
+    out = f"{folder}/out"
+    built = build(m.spark.readStream.schema(m.table(table).schema).option("pathGlobFilter", f"{table}.parquet").parquet(m.sf_dir))
+    sink = built.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True)
+    if mode == "append":
+        sink = sink.format("parquet").option("path", out)
+    else:
+        sink = sink.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(out))
+    jobs.run(sink.start())
+    return m.spark.read.schema(built.schema).parquet(out)
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(CAST(value AS DECIMAL(18, 2))), 2)::DOUBLE AS total FROM events GROUP BY 1")

@@ -53,9 +53,11 @@ class Model:
         return self.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("entity_type"))
 
     def relations(self) -> DataFrame:
-        """Near misses: clusters of one customer, next to each other by id."""
-        nxt = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-        return self.table("orders").select(F.col("o_orderkey").alias("a"), nxt.alias("b"), F.when(F.col("o_orderkey") % 10 != 0, (F.col("o_orderkey") % 97) / F.lit(97.0).cast("double")).alias("score")).filter("b IS NOT NULL")
+        """Near misses: each cluster of a customer with the next four by id, so most are an end of eight."""
+        own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+        others = F.array(*(F.lead("o_orderkey", k).over(own) for k in range(1, 5)))
+        pairs = self.table("orders").select(F.col("o_orderkey").alias("a"), others.alias("others")).select("a", F.explode("others").alias("b")).filter("b IS NOT NULL")
+        return pairs.withColumn("score", F.when(F.col("a") % 10 != 0, (F.col("a") * 7 + F.col("b") * 13) % 97 / F.lit(97.0).cast("double")))
 
     def titles(self) -> DataFrame:
         """Raw items: a title of the first line's first 140 characters."""
@@ -88,7 +90,8 @@ VARIANTS = f"""{SOURCES}, variants AS (SELECT l_orderkey * 1000 + row_number() O
   l_returnflag AS tag, l_discount AS score, 'Part ' || (l_partkey % 50) || ' ships - Wire' || (l_suppkey % 3) AS title, 'https://s' || l_suppkey || '.example.com/a/' || l_partkey AS url, l_quantity AS quantity, category,
   CASE category WHEN 'official' THEN 3 WHEN 'press' THEN 2 ELSE 1 END AS rank FROM lineitem JOIN sources ON l_suppkey = sources.id)"""
 ENTITIES = "entities AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS entity_type FROM customer)"
-RELATIONS = "relations AS (SELECT * FROM (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b, CASE WHEN o_orderkey % 10 <> 0 THEN (o_orderkey % 97) / 97.0::DOUBLE END AS score FROM orders) WHERE b IS NOT NULL)"
+RELATIONS = """placed AS (SELECT o_orderkey AS k, o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+relations AS (SELECT x.k AS a, y.k AS b, CASE WHEN x.k % 10 <> 0 THEN (x.k * 7 + y.k * 13) % 97 / 97.0::DOUBLE END AS score FROM placed x JOIN placed y ON x.c = y.c AND y.n BETWEEN x.n + 1 AND x.n + 4)"""
 TITLES = "titles AS (SELECT doc_id AS id, source, lang, substr(split_part(coalesce(text, ''), chr(10), 1), 1, 140) AS title, text FROM documents)"
 LOGS = """logs AS (SELECT event_id AS id, ts AS created_at, user_id, CASE WHEN event_type IN ('click', 'view') THEN 'llm' WHEN event_type = 'purchase' THEN 'keyword' ELSE 'skip' END AS method,
   CASE WHEN event_type = 'error' THEN 'error' WHEN event_id % 3 = 0 THEN 'rejected' ELSE 'approved' END AS result, value AS latency,

@@ -156,3 +156,26 @@ def test_deduped_sink_replays(spark, tmp_path):
 
 def test_unicode_words_do_not_depend_on_the_jvm(spark):
     assert spark.range(1).select(text.tokens(F.lit("Éric's naïve café"))).first()[0] == ["éric", "naïve", "café"]
+
+
+def test_relations_of_a_hub_at_both_ends(spark):
+    """Cluster 2 is one end of every relation, and keeps its strongest whichever end it is."""
+    rel = spark.createDataFrame([(0, 2, 0.95), (2, 3, 0.8), (1, 2, 0.9), (2, 4, 0.85), (3, 4, 0.1)], "a long, b long, score double")
+    kept = lambda n: {(r["a"], r["b"]) for r in feed.strongest_relations(rel, n).collect()}
+    assert kept(1) == {(0, 2)} and kept(2) == {(0, 2), (1, 2), (3, 4)} and len(kept(5)) == 5
+
+
+def test_alerts_of_stretches_equal_one_pass(spark):
+    import random
+
+    rng, hour = random.Random(3), jobs.HOUR
+    rows = [(c, int(t)) for c in "ab" for t in [rng.randrange(0, 400) * hour // 2 for _ in range(80)]] + [("c", 0)] * 3
+    want = set()
+    for c in "abc":
+        last = None
+        for t in sorted(t for x, t in rows if x == c):
+            if last is None or t - last >= 6 * hour:
+                want.add((c, t))
+                last = t
+    got = [tuple(r) for r in jobs.alerts_batch(spark.createDataFrame(rows, "condition string, at long")).collect()]
+    assert len(got) == len(want) and set(got) == want
