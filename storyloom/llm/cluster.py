@@ -7,62 +7,29 @@ never a result.  No operator keeps rows of the corpus on the driver.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-#: Rows of a window partition are kept under this many, whatever the key's weight.
-WINDOW_ROWS = 100_000
-
-_staged: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only in local sessions without any."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    found = f"file://{tempfile.mkdtemp(prefix='storyloom-')}"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
+from ..plans.staging import drop_staged, shared_dir, stage_path, staged
 
-def stage_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/storyloom/{name}-{uuid.uuid4().hex}"
-    if not _staged:
-        atexit.register(drop_staged)
-    _staged.append((spark, path))
-    return path
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, computes once."""
-    spark = df.sparkSession
-    path = stage_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bounded_batches", "components", "drop_staged", "partitions", "ranked", "shared_dir", "stage_path", "staged", "window_target"]
 
+#: Rows of a window partition are kept under this many, whatever the key's weight.
+WINDOW_ROWS = 100_000
+#: Rows and bytes of an Arrow batch, so a run of very long texts fits a worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
-def drop_staged() -> None:
-    """Remove every staged table of this process (also runs when it exits)."""
-    while _staged:
-        spark, path = _staged.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session is gone: the cluster's own cleaning takes over
-            pass
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of limited rows and bytes.
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
-    """Arrow batches of limited rows and bytes, so a run of very long texts fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    The settings are the session's, and the same for every operator, so lazy plans do not depend on
+    which operator was called last.  A lower limit that the session already has stays.
+    """
+    for name, limit in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, "0")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= limit:
+            spark.conf.set(key, str(limit))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -104,16 +71,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, comp) for every node of the undirected ``edges`` (a, b); comp is the least node reachable.
 
     Alternating large-star and small-star steps over staged edge tables until the
-    edge set stands still.  A hub's edges are joined, not gathered, so AQE can split them.
+    edge set stands still.  The least neighbours are staged before they are joined: a hub's
+    edges then meet them by broadcast or in a join that AQE splits, not where they were counted.
     """
     now = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     seen = _mark(now)
     while seen[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-low")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = staged(large.filter("a <> b").distinct(), name)
-        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        low = staged(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), f"{name}-low")
         small = large.select(F.col("a").alias("u"), F.col("b").alias("v")).join(low, "u")
         small = small.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select("u", "m"))
         now = staged(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)

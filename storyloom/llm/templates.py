@@ -257,7 +257,7 @@ def site_templates(seen: DataFrame) -> DataFrame:
 
 def page_templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, page, templates): per page that has any, the host's templates that hold some of its text."""
-    bounded_batches(pages.sparkSession, 500, "8m")
+    bounded_batches(pages.sparkSession)
     rows = pages.select(_host(url_col).alias("host"), _page(id_col, html_col).alias("page"), F.col(html_col).alias("html"))
     seen = staged(rows.mapInArrow(_hashes, "host string, page long, hash long, body long, live boolean"), "templates-seen")
     found = seen.filter("live").select("host", "page", "hash").join(site_templates(seen), ["host", "hash"])

@@ -310,12 +310,67 @@ def test_url_filter(spark):
         ("https://www.bad.com/y", "2024-03-09", True), ("https://www.bad.com/y", "2024-03-10", False), ("https://x.www.bad.com", "2024-03-10", True), ("http://notbad.com", "2024-03-10", False), ("http://sub.one.org", "2024-03-10", False),
         ("http://one.org?q", "2024-03-10", True), (None, "2024-03-10", False), ("no url", "2024-03-10", False), ("http://bad.com/x", None, False), ("http://bad.com/x", "2024-01-10", True),
     ]
-    frame = spark.createDataFrame([(k, u, t) for k, (u, t, _) in enumerate(cases)], "n int, url string, t string").withColumn("captured_at", F.to_timestamp("t")).withColumn("key", F.lit("clash"))
-    got = {r["n"]: r["blocked"] for r in urlfilter.decide(frame, lists).collect()}
-    assert got == {k: b for k, (_, _, b) in enumerate(cases)}
+    frame = spark.createDataFrame([(k, u, t) for k, (u, t, _) in enumerate(cases)], "n int, url string, t string").withColumn("captured_at", F.to_timestamp("t"))
+    for c in ("key", "rule", "_host", "host", "matched", "blocked", "_time", "list", "start", "_capture", "a.b"):
+        frame = frame.withColumn(c, F.lit("clash"))
+    out = urlfilter.decide(frame, lists)
+    assert sorted(out.columns) == sorted(frame.columns)
+    got = {r["n"]: (r["blocked"], r["key"]) for r in out.collect()}
+    assert got == {k: (b, "clash") for k, (_, _, b) in enumerate(cases)}
     assert not any(r["blocked"] for r in urlfilter.decide(frame, lists.limit(0)).collect()) and urlfilter.decide(frame.limit(0), lists).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("url", "host"),
+    [("http://[::1]:80/x", "[::1]"), ("//Host.com/x", "host.com"), ("  https://a.com", "a.com"), ("http://a@b@host.com:8/x", "host.com"), ("http://a.com./@b.com", "a.com"), ("http:///x", None), ("mailto:x@y.z", None), ("a.com/x", None), (None, None), ("http://a.com?u=//b.com", "a.com")],
+)
+def test_hosts(spark, url, host):
+    assert spark.createDataFrame([(url,)], "u string").select(urlfilter.host_of(F.col("u"))).first()[0] == host
+
+
+@pytest.mark.parametrize("limit", [32 << 20, -1])
+def test_url_filter_against_brute_force(spark, monkeypatch, limit):
+    """Long histories over many buckets, by broadcast and by shuffle, in a session outside UTC."""
+    monkeypatch.setattr(urlfilter, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(urlfilter, "BUCKET_DAYS", 3)
+    rng, day = random.Random(5), 86400
+    keys = ["com", "x.com", "a.x.com", "b.a.x.com", "y.org", "1.2.3.4", "3.4"]
+    made = [(rng.choice(["block", "allow"]), rng.choice(["add", "add", "remove"]), rng.choice(["host", "domain"]), rng.choice(keys), 1_700_000_000 + rng.randrange(200) * day) for _ in range(120)]
+    hosts = ["x.com", "a.x.com", "b.a.x.com", "c.b.a.x.com", "y.org", "z.y.org", "1.2.3.4", "com"]
+    asked = [(k, f"http://{rng.choice(hosts)}/p", 1_700_000_000 + rng.randrange(210) * day) for k in range(300)]
+
+    def want(url, t):
+        host = url[7:-2]
+        best = (0, False, None)
+        for kind in ("host", "domain"):
+            for name in ("block", "allow"):
+                for key in keys:
+                    if not (host == key or kind == "domain" and host.endswith("." + key) and host != "1.2.3.4"):
+                        continue
+                    events = sorted((at, action) for ls, action, kd, ky, at in made if (ls, kd, ky) == (name, kind, key) and at <= t)
+                    if events and events[-1][1] == "add":  # of one moment the last by name
+                        best = max(best, (len(key), name == "allow", name))
+        return best[2] == "block"
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        lists = spark.createDataFrame(made, "list string, action string, kind string, key string, at long").withColumn("at", F.timestamp_seconds("at"))
+        frame = spark.createDataFrame(asked, "n int, url string, t long").withColumn("captured_at", F.timestamp_seconds("t"))
+        got = {r["n"]: r["blocked"] for r in urlfilter.decide(frame, lists).collect()}
+        assert got == {k: want(u, t) for k, u, t in asked} and 0 < sum(got.values()) < len(got)
+        first = urlfilter.filtered(spark.createDataFrame([(1, "http://spam-farm.example.org/")], "page_id long, url string")).first()
+        assert (first["captured_on"], first["blocked"]) == ("2024-01-02", True)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_dated_list_from_files(spark, tmp_path):
+    (tmp_path / "list.csv").write_text("list,action,kind,key,at\nblock,add,domain, Bad.com ,2024-01-10\nblock,remove,domain,bad.com,2024-02-01T12:30:00\nblock,add,nothing,x.com,2024-01-01\nblock,add,host,y.com,soon\n")
+    got = urlfilter.read_entries(spark, str(tmp_path / "list.csv")).select("key", "action", F.unix_seconds("at").alias("at")).collect()
+    assert sorted(map(tuple, got)) == [("bad.com", "add", 1704844800), ("bad.com", "remove", 1706790600)]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
