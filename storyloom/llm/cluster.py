@@ -27,8 +27,8 @@ def bounded_batches(spark: SparkSession) -> None:
     """
     for name, limit in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(key, "0")
-        if not now.lstrip("-").isdigit() or not 0 < int(now) <= limit:
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= limit:
             spark.conf.set(key, str(limit))
 
 

@@ -11,14 +11,16 @@ over, fewer than one sequence a pattern, are packed best fit decreasing.
 Each class hands its ranks to pattern copies in order, so a document finds its sequence
 from its rank alone; ranks are made in sub-partitions and no class meets in one task.
 
-Defined results: a null or empty text is its end id alone; an empty table gives no rows;
-repeated rows are packed as rows of their own; extra columns are ignored.
+Defined results: a null or empty text is its end id alone; a text of any length is cut into as
+many pieces as it needs; pieces of equal length and document take places in any order; an empty
+table gives no rows; repeated rows are packed as rows of their own; extra columns are ignored.
+Pivots that gain nothing for a long run end the linear program: its plan then still holds every
+item, at the best bound so far.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .cluster import bounded_batches, ranked, staged
 from .tokens import encoder
+from .trees import Rooms
 
 #: Width of a length class in ids.
 UNIT = 8
@@ -81,6 +84,7 @@ def patterns(demand: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
     columns = np.diag(capacity // (used + 1)).astype(float)
     inverse, amount = np.diag(1.0 / np.diag(columns)), need / np.diag(columns)
     gains = np.zeros(capacity)
+    stalled, least = 0, amount.sum()
     while True:
         dual = inverse.sum(axis=0)
         gains[used] = dual
@@ -91,8 +95,14 @@ def patterns(demand: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
         counts = full[used].astype(float)
         step = inverse @ counts
         able = np.flatnonzero(step > 1e-9)
-        leave = able[np.argmin(amount[able] / step[able])]
+        ratio = amount[able] / step[able]
+        # Of equal ratios the first row leaves; pivots that gain nothing for so long could go round in a circle.
+        leave = able[np.flatnonzero(ratio <= ratio.min() + 1e-12)[0]]
         share = amount[leave] / step[leave]
+        stalled = 0 if amount.sum() < least - 1e-9 else stalled + 1
+        least = min(least, amount.sum())
+        if stalled > 2 * len(used):
+            break
         amount = np.maximum(amount - share * step, 0)
         amount[leave] = share
         pivot = inverse[leave] / step[leave]
@@ -119,15 +129,14 @@ def patterns(demand: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
 def _best_fit(left: np.ndarray, widths: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
     """Best fit decreasing of what rounding left: fewer sequences than there are classes."""
     bins: list[np.ndarray] = []
-    room: list[tuple[int, int]] = []
+    room = Rooms()
     for k in range(len(left) - 1, -1, -1):
         for _ in range(int(left[k])):
-            at = bisect_left(room, (int(widths[k]), -1))
-            space, b = room.pop(at) if at < len(room) else (capacity, len(bins))
+            space, b = room.tightest(int(widths[k])) or (capacity, len(bins))
             if b == len(bins):
                 bins.append(np.zeros(len(left), dtype=np.int64))
             bins[b][k] += 1
-            insort(room, (space - int(widths[k]), b))
+            room.add((space - int(widths[k]), b))
     return [(1, b) for b in bins]
 
 

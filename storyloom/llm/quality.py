@@ -9,8 +9,11 @@ Fitting uses all labelled rows that are not held out, as sums per class, so the
 ``FEATURES`` squared numbers.  Labels, language, source and id are never inputs.
 
 Defined results: null and empty texts have the statistics of no words and are scored like any
-other; unlabelled rows and null labels are not learned from; if one class has no rows every
-score is 1 or 0 for the other, and 0.5 if neither has; repeated rows are scored alike.
+other; very long texts are read whole; unlabelled rows and null labels are not learned from, nor
+are labels of a null id; of several labels of one id the least counts; if one class has no rows
+every score is 1 or 0 for the other, and 0.5 if neither has; repeated and tied rows are scored
+alike; an empty table gives no rows; extra columns are ignored by ``scores`` and kept by
+``accepted``, which decides each row by itself.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.staging import broadcast_if_small
 from . import words
 from .cluster import bounded_batches, staged
 
@@ -100,26 +104,34 @@ def _sums(batches):
             yield pa.RecordBatch.from_pylist([{"label": c, "s": (own.T @ own).reshape(-1).tolist()}], schema=pa.schema([("label", pa.int32()), ("s", pa.list_(pa.float64()))]))
 
 
+def _solved(factor: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Rows x of factor x = row, by forward substitution for all rows at once."""
+    out = np.empty_like(rows)
+    for k in range(len(factor)):
+        out[:, k] = (rows[:, k] - out[:, :k] @ factor[k, :k]) / factor[k, k]
+    return out
+
+
 class Discriminant:
-    """Means, inverse Cholesky factors and log terms of both classes."""
+    """Means, Cholesky factors and log terms of both classes."""
 
     def __init__(self, sums: dict[int, np.ndarray]):
         self.n = {c: float(s[0, 0]) for c, s in sums.items() if s[0, 0] > 0}
         self.mean = {c: sums[c][0, 1:] / n for c, n in self.n.items()}
         cov = {c: sums[c][1:, 1:] / n - np.outer(self.mean[c], self.mean[c]) for c, n in self.n.items()}
         total = sum(self.n.values())
-        self.inverse, self.constant = {}, {}
+        self.factor, self.constant = {}, {}
         for c, own in cov.items():
             pooled = sum(self.n[k] / total * cov[k] for k in cov)
             shrunk = (1 - DIAGONAL - POOLED) * own + DIAGONAL * np.diag(np.diag(own)) + POOLED * pooled
             factor = np.linalg.cholesky(shrunk + FLOOR * np.eye(len(own)))
-            self.inverse[c] = np.linalg.inv(factor)
+            self.factor[c] = factor
             self.constant[c] = np.log(self.n[c] / total) - np.log(np.diag(factor)).sum()
 
     def score(self, f: np.ndarray) -> np.ndarray:
         if len(self.n) < 2:
             return np.full(len(f), 0.5 if not self.n else float(1 in self.n))
-        density = {c: self.constant[c] - 0.5 * (((f - self.mean[c]) @ self.inverse[c].T) ** 2).sum(axis=1) for c in (0, 1)}
+        density = {c: self.constant[c] - 0.5 * (_solved(self.factor[c], f - self.mean[c]) ** 2).sum(axis=1) for c in (0, 1)}
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
 
@@ -135,6 +147,31 @@ def fit(features: DataFrame, labels: DataFrame, held_out: Column) -> Discriminan
     return Discriminant({c: s.reshape(FEATURES + 1, -1) for c, s in out.items()})
 
 
+def _decided(model: Discriminant, text: str, threshold: float):
+    def of(batches):
+        for batch in batches:
+            for rows, data, offsets in words.slices(batch, text):
+                score = model.score(statistics(data, offsets))
+                yield rows.filter(pa.array(score >= threshold))
+
+    return of
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores at least ``threshold``.
+
+    Only labelled rows are looked at to fit; every row is then decided by its own text where it is
+    read, so no text moves and repeated or null ids decide nothing.
+    """
+    bounded_batches(docs.sparkSession)
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), "quality").filter("doc_id IS NOT NULL AND quality IN (0, 1)")
+    ids = broadcast_if_small(known.select("doc_id").distinct())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    learned = rows.filter(~held()).join(ids, "doc_id", "left_semi").mapInArrow(_features(1), "doc_id long, f array<double>")
+    model = fit(learned, known, held())
+    return docs.mapInArrow(_decided(model, text_col, threshold), docs.schema)
+
+
 def _scored(model: Discriminant):
     def of(batches):
         for batch in batches:

@@ -6,30 +6,35 @@ members plus ``OVERHEAD`` each.  Group sizes are counted in classes: exact up to
 histogram that the driver packs has a bounded number of rows however many groups there are.
 
 Classes enter the shards in descending order, each item into the tightest shard that still
-holds it, found by bisection in a sorted list of the remaining room; a run of equal sizes
-moves as one step.  The smallest capacity for which all groups fit is found by bisection,
+holds it, found in a balanced tree of the remaining room; a run of equal sizes moves as one step.  The smallest capacity for which all groups fit is found by bisection,
 and a group larger than an even share takes a shard of its own before the others are packed.
 
 Within a class, ranks (made in sub-partitions) tell groups apart; slots within a shard are
 row numbers of hashed chunks shifted by the chunks before, so no shard meets in one task.
 
+Copies of one text go to one shard but not through one task: the few groups of at least
+``HOT`` rows, and at most one in ``HOT`` of all rows can be one, are met by broadcast.
+
 Defined results: null and empty texts are one group of ``OVERHEAD`` bytes a row; repeated
-rows get slots of their own; an empty table gives no rows; extra columns are ignored.
+rows get slots of their own; very long texts count with all their bytes; groups of equal size are
+told apart by a hash of the text, and rows of equal id and text take slots in any order; an empty
+table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .cluster import ranked, staged, window_target
+from .trees import Rooms
 
 OVERHEAD = 8
 EXACT = 1 << 14
+#: Rows from which a group of copies is joined by broadcast; there are at most total / HOT such groups, and 10,000.
+HOT = 1000
 
 
 def size_class(size: Column) -> Column:
@@ -41,17 +46,16 @@ def size_class(size: Column) -> Column:
 
 def best_fit(sizes: list[tuple[int, int]], shards: int, capacity: int) -> list[tuple[int, int, int]] | None:
     """(size, count, shard) steps that place all (size, count) runs, largest first; None if they do not fit."""
-    room = [(capacity, s) for s in range(shards)]
+    room = Rooms((capacity, s) for s in range(shards))
     out = []
     for size, count in sizes:
         while count:
-            at = bisect_left(room, (size, -1))
-            if at == len(room):
+            if (found := room.tightest(size)) is None:
                 return None
-            space, shard = room.pop(at)
+            space, shard = found
             n = min(count, space // size) if size else count
             out.append((size, n, shard))
-            insort(room, (space - n * size, shard))
+            room.add((space - n * size, shard))
             count -= n
     return out
 
@@ -88,8 +92,12 @@ def _assigned(steps: list[tuple[int, int, int]]):
     def of(batches):
         for batch in batches:
             cls, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("cls", "rank"))
-            shard = np.array([ranges[c][1][np.searchsorted(ranges[c][0], r, side="right")] for c, r in zip(cls.tolist(), rank.tolist(), strict=True)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("key")), pa.array(shard)], names=["key", "shard"])
+            shard = np.zeros(len(cls), np.int32)
+            for c in np.unique(cls):
+                own = np.flatnonzero(cls == c)
+                upto, where = ranges[int(c)]
+                shard[own] = where[np.searchsorted(upto, rank[own], side="right")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in ("key", "rows")), pa.array(shard)], names=["key", "rows", "shard"])
 
     return of
 
@@ -100,16 +108,18 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
     rows = staged(rows, "sharding-rows")
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes")).withColumn("cls", size_class(F.col("bytes")))
-    groups = staged(groups.select("key", "cls"), "sharding-groups")
+    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).withColumn("cls", size_class(F.col("bytes")))
+    groups = staged(groups.select("key", "rows", "cls"), "sharding-groups")
     sizes = groups.groupBy("cls").agg(F.count("*").alias("cnt"))
     found = [(r["cls"], r["cnt"]) for r in sizes.collect()]  # bounded: EXACT rows and EXACT / 16 an octave
     counts = spark.createDataFrame(found, "cls long, cnt long")
-    place = ranked(groups, "cls", counts, sum(n for _, n in found), [F.col("key")]).select("key", "cls", "rank")
-    place = place.mapInArrow(_assigned(plan(found, shards)), "key binary, shard int")
-    placed = staged(rows.join(place, "key").select("doc_id", "size", "text_crc32", "shard"), "sharding-placed")
-    per = placed.groupBy("shard").agg(F.count("*").alias("cnt"))
+    place = ranked(groups, "cls", counts, sum(n for _, n in found), [F.col("key")]).select("key", "rows", "cls", "rank")
+    place = staged(place.mapInArrow(_assigned(plan(found, shards)), "key binary, rows long, shard int"), "sharding-place")
     total = rows.count()
+    hot = F.broadcast(place.filter(F.col("rows") >= max(HOT, total // 10_000)).select("key", "shard"))
+    met, others = rows.join(hot, "key"), rows.join(hot, "key", "left_anti").join(place.select("key", "shard"), "key")
+    placed = staged(met.unionByName(others).select("doc_id", "size", "text_crc32", "shard"), "sharding-placed")
+    per = placed.groupBy("shard").agg(F.count("*").alias("cnt"))
     chunks = per.select("shard", F.ceil(F.col("cnt") / window_target(spark, total)).cast("int").alias("chunks"))
     cut = placed.join(F.broadcast(chunks), "shard").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("chunks"))).drop("chunks")
     before = cut.groupBy("shard", "chunk").agg(F.count("*").alias("n"))

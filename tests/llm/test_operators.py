@@ -46,9 +46,39 @@ def test_sharding(docs):
     assert all(len(s) == 1 for s in where.values())
     want = sorted((r["doc_id"], len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode())) for r in docs.collect() if r["doc_id"] is not None)
     assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got if r["doc_id"] is not None) == want
+    assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_shards_against_brute_force(spark, monkeypatch, hot):
+    """Groups of copies packed whole: no shard holds more than best fit decreasing of the exact sizes needs."""
+    monkeypatch.setattr(sharding, "HOT", hot)
+    rng = random.Random(4)
+    texts = ["x" * rng.randrange(0, 900) + str(k) for k in range(400)]
+    made = [(k, rng.choice(texts[:40]) if k % 3 else rng.choice(texts)) for k in range(3000)] + [(None, None), (7, texts[0])]
+    got = sharding.shard(spark.createDataFrame(made, "doc_id long, text string").withColumn("rows", F.lit(1))).collect()
+    assert len(got) == len(made)
+    total, where, size = {}, {}, {}
+    for r in got:
+        total[r["shard"]] = total.get(r["shard"], 0) + r["size"]
+        where.setdefault(r["text_crc32"], set()).add(r["shard"])
+        size[r["text_crc32"]] = size.get(r["text_crc32"], 0) + r["size"]
+    assert all(len(s) == 1 for s in where.values()) and len(total) == 24
+    capacity = max(max(size.values()), -(-sum(size.values()) // 24))
+    while True:
+        room = [capacity] * 24
+        for s in sorted(size.values(), reverse=True):
+            fits = [x for x in room if x >= s]
+            if not fits:
+                break
+            room[room.index(min(fits))] -= s
+        else:
+            break
+        capacity += 1
+    assert max(total.values()) <= 1.01 * capacity
+
+
 def brute_duplicates(pairs, n, percent):
     sets = {}
     for i, t in pairs:
@@ -196,6 +226,8 @@ def test_quality(spark, docs):
     right = [known[r["doc_id"]] == r["predicted"] for r in got if r["held_out"] and r["doc_id"] in known]
     assert np.mean(right) >= 0.85
     assert {r["score"] for r in quality.scores(docs, labels.limit(0)).collect()} == {0.5}
+    kept = rows(quality.accepted(docs, labels), *docs.columns)
+    assert {k[0] for k in kept} <= {r["doc_id"] for r in got if r["predicted"]} and len(kept) == sum(r["predicted"] for r in got)
     assert quality.scores(docs.limit(0), labels).count() == 0
 
 

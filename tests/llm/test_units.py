@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from storyloom.llm import fmindex, langid, lattice, packing, quality, sharding, templates, tokenfile, tokens, words
+from storyloom.llm import fmindex, langid, lattice, minhash, packing, quality, sharding, templates, tokenfile, tokens, trees, words
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -89,6 +89,55 @@ def test_price_is_the_best_knapsack():
     assert abs(value - best) < 1e-12 and (counts * np.arange(1, 5)).sum() <= 9
 
 
+def test_tree_is_balanced_and_gives_the_tightest():
+    rng = np.random.default_rng(8)
+    rooms, held = trees.Rooms(), []
+    for k in range(3000):
+        if len(held) < 5 or rng.random() < 0.6:
+            key = (int(rng.integers(0, 500)), k)
+            rooms.add(key)
+            held.append(key)
+        else:
+            size = int(rng.integers(0, 520))
+            want = min((h for h in held if h[0] >= size), default=None)
+            assert rooms.tightest(size) == want
+            if want:
+                held.remove(want)
+
+    def check(t):
+        if not t:
+            return 0, []
+        (a, x), (b, y) = check(t[0]), check(t[2])
+        assert abs(a - b) <= 1 and t[3] == 1 + max(a, b)
+        return t[3], [*x, t[1], *y]
+
+    assert check(rooms.tree)[1] == sorted(held)
+
+
+def test_best_fit_against_brute_force():
+    """Every run placed as one item after another, each in the tightest bin that holds it."""
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        sizes = sorted(((int(s), int(n)) for s, n in zip(*np.unique(rng.integers(1, 60, 80), return_counts=True))), reverse=True)
+        capacity = int(rng.integers(400, 700))
+        room, want = [capacity] * 6, []
+        for s, n in sizes:
+            for _ in range(n):
+                fits = [k for k in range(6) if room[k] >= s]
+                if not fits:
+                    want = None
+                    break
+                k = min(fits, key=lambda k: (room[k], k))
+                room[k] -= s
+                want.append((s, k))
+            if want is None:
+                break
+        got = sharding.best_fit(sizes, 6, capacity)
+        assert (got is None) == (want is None)
+        if got:
+            assert [(s, k) for s, n, k in got for _ in range(n)] == want
+
+
 def test_best_fit_is_even_and_whole():
     rng = np.random.default_rng(1)
     sizes = [(int(s), int(n)) for s, n in zip(*np.unique(rng.integers(8, 5000, 3000), return_counts=True))]
@@ -192,6 +241,18 @@ def test_discriminant_separates_and_degenerates():
         sums[c] = own.T @ own
     model = quality.Discriminant(sums)
     assert (model.score(f[1]) > 0.5).mean() > 0.99 and (model.score(f[0]) < 0.5).mean() > 0.99
+    # The score written out: Gaussian densities by determinant and inverse of the shrunk covariances.
+    means, n = {c: f[c].mean(axis=0) for c in f}, quality.FEATURES
+    own = {c: np.cov(f[c].T, bias=True) for c in f}
+    shrunk = {c: (1 - quality.DIAGONAL - quality.POOLED) * own[c] + quality.DIAGONAL * np.diag(np.diag(own[c])) + quality.POOLED * (own[0] + own[1]) / 2 + quality.FLOOR * np.eye(n) for c in f}
+    x = np.concatenate([f[0], f[1], rng.normal(1.5, 2, (50, n))])
+
+    def density(c):
+        d = x - means[c]
+        return np.log(0.5) - 0.5 * np.log(np.linalg.det(shrunk[c])) - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(shrunk[c]), d)
+
+    want = 1 / (1 + np.exp(np.clip(density(0) - density(1), -700, 700)))
+    assert np.allclose(model.score(x), want, atol=1e-9)
     nothing = np.zeros((quality.FEATURES + 1,) * 2)
     assert (quality.Discriminant({0: nothing, 1: nothing}).score(f[0]) == 0.5).all()
     assert (quality.Discriminant({0: nothing, 1: sums[1]}).score(f[0]) == 1).all()
