@@ -7,30 +7,45 @@ Burrows-Wheeler transform goes into a wavelet matrix, and all phrases are search
 at once.  Occurrences are located by walking to the nearest sampled suffix position; their
 word spans are merged per document.
 
-The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words each; a larger
-benchmark takes several passes and the spans of all passes are merged.
-
-Defined results: null, empty or word-less texts have no words and no hits; an item without
-words has no phrase; an item of fewer words than a window is one phrase; equal items all
-count; repeated documents are rows of their own; an empty benchmark or table hits nothing.
+The benchmark is cut into pieces of words, each with the words that the next piece needs, and the
+pieces go to the tasks in blocks of about ``BLOCK_WORDS`` words.  The driver holds one block at a
+time; each block's spans are written to the shared folder before the next block is read.  A
+larger benchmark takes several passes.  The spans of all passes are found in the text as it came,
+and merged per text, so the size of the benchmark changes no result.
+
+Defined results: null, empty or word-less texts have no words and no hits; very long texts are
+read whole; an item without words has no phrase; an item of fewer words than a window is one
+phrase; rows of one item_id are one item of several texts; a null item_id is searched, and its
+words are hit, but there is no id to list; equal items all count, and of overlapping or touching
+occurrences every word counts once; repeated documents are rows of their own; an empty benchmark
+or table hits nothing; extra columns are ignored by ``contamination`` and kept by ``decontaminated``.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+from string import ascii_lowercase, ascii_uppercase
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.staging import broadcast_if_small
 from . import words
-from .cluster import bounded_batches
+from .cluster import bounded_batches, staged
 
-#: Words of the benchmark that one pass carries (about 40 bytes each on every worker).
-BLOCK_WORDS = 1_000_000
+#: Words of the benchmark that one pass carries, on the driver and on every worker: at most 64 bytes
+#: each, for a window of 10 words of 4 bytes, its items and its word.
+BLOCK_WORDS = 500_000
 #: Indexed words after which a shard is searched, and words of its documents.
 SHARD_INDEXED, SHARD_WORDS = 400_000, 3_000_000
 #: Every so many-th suffix position is kept.
 SAMPLE = 8
 
+#: Hit texts whose spans may be broadcast (spans are a few per text; more texts are joined by a shuffle).
+BROADCAST_TEXTS = 100_000
+
 ASCII_WORDS = words.byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 
 
@@ -43,24 +58,32 @@ class Phrases:
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         low, starts, stops, first = words.find(data, offsets, ASCII_WORDS)
         hashed = words.hashes(low, starts, stops)
-        self.items = [i for i, _ in items]
+        self.items = sorted({i for i, _ in items if i is not None}, key=str)
+        name = {i: k for k, i in enumerate(self.items)}
+        named = np.array([name.get(i, -1) for i, _ in items], dtype=np.int64)
         self.vocabulary = np.unique(hashed)
-        symbol = np.searchsorted(self.vocabulary, hashed) + 1
-        owners: dict[tuple, list[int]] = {}
-        for k in range(len(items)):
-            own = symbol[first[k] : first[k + 1]].tolist()
-            n = min(window, len(own))
-            for at in range(len(own) - n + 1 if n else 0):
-                of = owners.setdefault(tuple(own[at : at + n]), [])
-                if not of or of[-1] != k:
-                    of.append(k)
-        self.size = np.array([len(p) for p in owners], dtype=np.int64)
+        symbol = (np.searchsorted(self.vocabulary, hashed) + 1).astype(np.int32)
+        # One row per window: where it begins and how many words it has.
+        count = np.diff(first)
+        size = np.minimum(count, window)
+        runs = np.where(count > 0, count - size + 1, 0)
+        owner = np.repeat(np.arange(len(items)), runs)
+        begin = np.repeat(first[:-1], runs) + np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)
+        rows = np.zeros((len(owner), window), dtype=np.int32)
+        for k in range(window):
+            has = size[owner] > k
+            rows[has, k] = symbol[begin[has] + k]
+        order = np.lexsort(rows.T[::-1]) if len(rows) else np.zeros(0, np.int64)
+        rows = rows[order]
+        fresh = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]) if len(rows) else np.zeros(0, bool)
+        phrase = np.cumsum(fresh) - 1
+        self.symbols = rows[fresh]
+        self.size = (self.symbols > 0).sum(axis=1).astype(np.int64)
         self.shortest = int(self.size.min()) if len(self.size) else 0
-        self.symbols = np.zeros((len(owners), window), dtype=np.int64)
-        for row, p in enumerate(owners):
-            self.symbols[row, : len(p)] = p
-        self.owner_of = np.array([i for of in owners.values() for i in of], dtype=np.int64)
-        self.owner_at = np.concatenate([[0], np.cumsum([len(of) for of in owners.values()])]).astype(np.int64)
+        pairs = np.unique(np.stack([phrase, named[owner[order]]]), axis=1) if len(rows) else np.zeros((2, 0), np.int64)
+        pairs = pairs[:, pairs[1] >= 0]
+        self.owner_of = pairs[1].astype(np.int32)
+        self.owner_at = np.searchsorted(pairs[0], np.arange(len(self.size) + 1))
 
     def map(self, hashed: np.ndarray) -> np.ndarray:
         """Symbols from 1, or 0 for a word that no item has."""
@@ -189,26 +212,28 @@ def occurrences(symbols: np.ndarray, parts: np.ndarray, phrases: Phrases) -> tup
     return origin[index.locate(rows)], phrase
 
 
-_HITS = "_id long, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
-_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-
-
-def _brought(rows: pa.RecordBatch, parts: np.ndarray, count: int) -> np.ndarray:
-    """The words in the rows' own column of spans, if there is one."""
-    mark, at = np.zeros(count + 1, np.int64), rows.schema.get_field_index("spans")
-    if at >= 0:
-        size, flat = rows.column(at).value_lengths().to_numpy(zero_copy_only=False), rows.column(at).flatten()
-        base = np.repeat(parts[:-1], size)
-        np.add.at(mark, base + flat.field("first").to_numpy(), 1)
-        np.add.at(mark, base + flat.field("last").to_numpy() + 1, -1)
-    return np.cumsum(mark[:-1]) > 0
-
-
-def _scan(phrases: Phrases, extra: list[str], cleaned: bool):
-    """extra: columns handed on; cleaned: give the text without the hit spans instead of the spans.
-
-    Spans that the rows bring along from other blocks count as hit.
-    """
+def _cut(batches):
+    """Texts without the words of their spans; a text all of whose words are hit goes."""
+    for batch in batches:
+        for rows, data, offsets in words.slices(batch, "text"):
+            _, starts, stops, first = words.find(data, offsets, ASCII_WORDS)
+            at = rows.schema.get_field_index("spans")
+            spans, raw, texts, stays = rows.column(at).to_pylist(), data.tobytes(), [], []
+            for d, own in enumerate(spans):
+                begin, kept, hit = int(offsets[d]), [], 0
+                for s in own or ():
+                    kept.append(raw[begin : starts[first[d] + s["first"]]])
+                    begin, hit = int(stops[first[d] + s["last"]]), hit + s["last"] - s["first"] + 1
+                texts.append(b"".join([*kept, raw[begin : offsets[d + 1]]]))
+                stays.append(not own or hit < first[d + 1] - first[d])
+            valid = rows.column(rows.schema.get_field_index("text")).is_valid()
+            new = pc.if_else(valid, pa.array(texts, pa.binary()).cast(pa.string()), pa.scalar(None, pa.string()))
+            keep = [k for k in range(rows.num_columns) if rows.schema.names[k] not in ("text", "spans")]
+            yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keep), new], names=[*(rows.schema.names[k] for k in keep), "text"]).filter(pa.array(stays))
+
+
+def _scan(phrases: Phrases, extra: list[str]):
+    """Hit spans and items of each text, with the columns ``extra`` handed on."""
 
     def search(symbols, first, count):
         at, phrase = occurrences(symbols, first, phrases)
@@ -226,8 +251,8 @@ def _scan(phrases: Phrases, extra: list[str], cleaned: bool):
         first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(h[2]) for h in held]))]).astype(np.int64)
         hit, pairs = search(symbols, first, len(symbols))
         docs, base = 0, 0
-        for rows, own, parts, data, offsets, starts, stops in held:
-            mine = hit[base : base + len(own)] | _brought(rows, parts, len(own))
+        for rows, own, parts in held:
+            mine = hit[base : base + len(own)]
             before = np.concatenate([[False], mine[:-1]])
             before[parts[:-1][parts[:-1] < len(mine)]] = False
             after = np.concatenate([mine[1:], [False]])[: len(mine)]
@@ -239,27 +264,11 @@ def _scan(phrases: Phrases, extra: list[str], cleaned: bool):
             chosen = pairs[:, (pairs[0] >= docs) & (pairs[0] < docs + len(rows))]
             for d, i in chosen.T:
                 items[d - docs].append(str(phrases.items[i]))
-            columns = [rows.column(rows.schema.get_field_index(c)) for c in extra]
-            if cleaned:
-                raw, texts = data.tobytes(), []
-                for d in range(len(rows)):
-                    at, kept = int(offsets[d]), []
-                    for k in range(spans_at[d], spans_at[d + 1]):
-                        kept.append(raw[at : starts[a[k]]])
-                        at = int(stops[b[k]])
-                    texts.append(b"".join([*kept, raw[at : offsets[d + 1]]]))
-                new = pa.array(texts, pa.binary()).cast(pa.string())
-                old = rows.column(rows.schema.get_field_index("text"))
-                new = pa.array([None if not v else x for x, v in zip(new.to_pylist(), old.is_valid().to_pylist(), strict=True)], pa.string())
-                left = np.concatenate([[0], np.cumsum(~mine)])[parts]
-                stays = pa.array((np.diff(parts) == 0) | (np.diff(left) > 0))
-                yield pa.RecordBatch.from_arrays([*columns, new], names=[*extra, "text"]).filter(stays)
-            else:
-                spans = pa.StructArray.from_arrays([pa.array(a - parts[np.searchsorted(parts, a, side="right") - 1]), pa.array(b - parts[np.searchsorted(parts, b, side="right") - 1])], names=["first", "last"])
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(np.diff(parts)), pa.ListArray.from_arrays(pa.array(spans_at, pa.int32()), spans), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                    names=[*extra, "n_words", "spans", "items"],
-                )
+            spans = pa.StructArray.from_arrays([pa.array(a - parts[np.searchsorted(parts, a, side="right") - 1]), pa.array(b - parts[np.searchsorted(parts, b, side="right") - 1])], names=["first", "last"])
+            yield pa.RecordBatch.from_arrays(
+                [*(rows.column(rows.schema.get_field_index(c)) for c in extra), pa.array(np.diff(parts)), pa.ListArray.from_arrays(pa.array(spans_at, pa.int32()), spans), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                names=[*extra, "n_words", "spans", "items"],
+            )
             docs, base = docs + len(rows), base + len(own)
 
     def of(batches):
@@ -268,12 +277,9 @@ def _scan(phrases: Phrases, extra: list[str], cleaned: bool):
             for rows, data, offsets in words.slices(batch, "text"):
                 low, starts, stops, first = words.find(data, offsets, ASCII_WORDS)
                 own = phrases.map(words.hashes(low, starts, stops))
-                texts = cleaned or "text" in extra
-                if not cleaned:
-                    starts = stops = data = None
-                held.append((rows, own, first, data, offsets, starts, stops))
+                held.append((rows if "text" in extra else rows.drop_columns(["text"]), own, first))
                 indexed, count = indexed + int((own > 0).sum()), count + len(own)
-                if indexed >= SHARD_INDEXED or count >= SHARD_WORDS or texts and count >= SHARD_WORDS // 4:
+                if indexed >= SHARD_INDEXED or count >= (SHARD_WORDS // 4 if "text" in extra else SHARD_WORDS):
                     yield from give(held)
                     held, indexed, count = [], 0, 0
         if held:
@@ -282,64 +288,107 @@ def _scan(phrases: Phrases, extra: list[str], cleaned: bool):
     return of
 
 
-def _blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> list[Phrases]:
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
-    size = items.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
-    count = -(-size // (2 * BLOCK_WORDS)) or 1  # a word and its gap are two characters at least
-    if count == 1:
-        return [Phrases([(r["i"], r["t"]) for r in items.collect()], window)]
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(count))
-    return [Phrases([(r["i"], r["t"]) for r in items.filter(part == k).collect()], window) for k in range(count)]
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """Per document: doc_id, n_words, spans of hit words (first, last; from 0), items (ids as sorted strings)."""
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
-    blocks = _blocks(benchmark, window, item_col, "text")
-    if len(blocks) == 1:
-        found = rows.mapInArrow(_scan(blocks[0], ["_id"], False), _HITS)
-        return found.select(F.col("_id").alias("doc_id"), "n_words", "spans", "items")
-    keyed = rows.withColumn("_row", F.xxhash64("_id", "text"))
-    each = None
-    for b in blocks:
-        one = keyed.mapInArrow(_scan(b, ["_id", "_row"], False), _HITS.replace("_id long,", "_id long, _row long,"))
-        each = one if each is None else each.unionByName(one)
-    # A repeated row meets itself here; its copies are counted and given back.
-    gathered = each.groupBy("_id", "_row", "n_words").agg(F.count("*").alias("_copies"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    merged = F.aggregate(
-        F.array_sort("spans"),
-        F.array().cast("array<struct<first:long,last:long>>"),
+def _pieces(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(i, t, block) of the benchmark's pieces, and how many blocks there are.
+
+    A piece begins at most BLOCK_WORDS / 4 windows and has the words of all of them, so no window
+    is lost or made at a cut; an item of fewer words than a window is a piece as it is.
+    """
+    step = max(1, BLOCK_WORDS // 4)
+    found = F.regexp_extract_all(F.translate(F.coalesce(F.col(text_col), F.lit("")), ascii_uppercase, ascii_lowercase), F.lit(_WORD), 0)
+    items = benchmark.select(F.col(item_col).alias("i"), found.alias("w")).filter(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size("w") - window, F.lit(0)) / step).cast("int"))
+    cut = items.select("i", "w", F.posexplode(starts).alias("k", "_"))
+    pieces = cut.select("i", "k", F.slice("w", F.col("k") * step + 1, step + window - 1).alias("w"))
+    pieces = staged(pieces.select("i", F.array_join("w", " ").alias("t"), F.size("w").alias("n"), F.xxhash64("i", "k", "w").alias("h")).distinct(), "fmindex-pieces")
+    total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-total // BLOCK_WORDS))
+    return pieces.select("i", "t", F.pmod("h", F.lit(blocks)).alias("block")), blocks
+
+
+def _blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str):
+    """The phrases of the benchmark, block by block; a block is read when it is asked for."""
+    pieces, blocks = _pieces(benchmark, window, item_col, text_col)
+    for k in range(blocks):
+        own = pieces.filter(F.col("block") == k) if blocks > 1 else pieces
+        yield Phrases([(r["i"], r["t"]) for r in own.select("i", "t").collect()], window), blocks
+
+
+_SPAN = "array<struct<first:long,last:long>>"
+
+
+def _merged(spans: Column) -> Column:
+    """Spans in order, those that overlap or touch as one."""
+    return F.aggregate(
+        F.array_sort(spans),
+        F.array().cast(_SPAN),
         lambda acc, s: F.when(
             (F.size(acc) > 0) & (s["first"] <= F.element_at(acc, -1)["last"] + 1),
             F.concat(
                 F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["first"], F.greatest(F.element_at(acc, -1)["last"], s["last"]))).cast("array<struct<first:long,last:long>>"),
+                F.array(F.struct(F.element_at(acc, -1)["first"], F.greatest(F.element_at(acc, -1)["last"], s["last"]))).cast(_SPAN),
             ),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    copies = F.explode(F.sequence(F.lit(1), (F.col("_copies") / len(blocks)).cast("int")))
-    return gathered.select(F.col("_id").alias("doc_id"), "n_words", merged.alias("spans"), "items", copies.alias("_copy")).drop("_copy")
+
+
+def _hits(rows: DataFrame, blocks) -> DataFrame:
+    """(key, spans, items) of each different text that any block hits; ``rows`` has (key, text)."""
+    each = None
+    for phrases, _ in blocks:
+        one = rows.mapInArrow(_scan(phrases, ["key"]), f"key binary, n_words long, spans {_SPAN}, items array<string>")
+        one = staged(one.filter(F.size("spans") > 0).drop("n_words").dropDuplicates(["key"]), "fmindex-hits")
+        each = one if each is None else each.unionByName(one)
+    gathered = each.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return staged(gathered.select("key", _merged(F.col("spans")).alias("spans"), "items"), "fmindex-merged")
+
+
+def _key(text: str) -> Column:
+    """Stands for a whole text; a copy has the same, so it is searched for spans once."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def _first_of(blocks):
+    first, count = next(blocks)
+    return (first, None) if count == 1 else (None, chain([(first, count)], blocks))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """Per document: doc_id, n_words, spans of hit words (first, last; from 0), items (ids as sorted strings)."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    only, blocks = _first_of(_blocks(benchmark, window, item_col, "text"))
+    if only is not None:
+        return rows.mapInArrow(_scan(only, ["doc_id"]), f"doc_id long, n_words long, spans {_SPAN}, items array<string>")
+    keyed = rows.select("doc_id", _key("text").alias("key"), "text")
+    hits = _hits(keyed.select("key", "text"), blocks)
+    counted = keyed.mapInArrow(_scan(Phrases([], window), ["doc_id", "key"]), f"doc_id long, key binary, n_words long, spans {_SPAN}, items array<string>")
+    met = counted.select("doc_id", "key", "n_words").join(broadcast_if_small(hits, BROADCAST_TEXTS), "key", "left")
+    return met.select("doc_id", "n_words", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``docs`` with every hit span cut from its text; a document all of whose words are hit goes.
 
-    Other columns stay as they are; a text without words has no hits and stays.
+    Other columns stay as they are; a text without words has no hits and stays.  Each row is cut by itself.
     """
     bounded_batches(docs.sparkSession)
-    names = docs.columns
-    rest = [c for c in names if c != text_col]
+    rest = [c for c in docs.columns if c != text_col]
     own = [f"c{k}" for k in range(len(rest))]
     schema = ", ".join([*(f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(own, rest, strict=True)), "text string"])
-    out = docs.select(*(F.col(c).alias(k) for k, c in zip(own, rest, strict=True)), F.col(text_col).alias("text"))
-    *blocks, last = _blocks(benchmark, window, item_col, "text")
-    # All blocks meet the text as it came; the spans go along and are cut at once.
-    for b in blocks:
-        found = out.mapInArrow(_scan(b, [*own, "text"], False), schema + _HITS.removeprefix("_id long"))
-        out = found.drop("n_words", "items")
-    done = out.mapInArrow(_scan(last, own, True), schema)
-    return done.select(*(F.col("text").alias(c) if c == text_col else F.col(own[rest.index(c)]).alias(c) for c in names))
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in zip(own, rest, strict=True)), F.col(text_col).alias("text"))
+    only, blocks = _first_of(_blocks(benchmark, window, item_col, "text"))
+    if only is not None:
+        met = rows.mapInArrow(_scan(only, [*own, "text"]), f"{schema}, n_words long, spans {_SPAN}, items array<string>").drop("n_words", "items")
+    else:
+        keyed = rows.withColumn("key", _key("text"))
+        hits = _hits(keyed.select("key", "text"), blocks).select("key", "spans")
+        met = keyed.join(broadcast_if_small(hits, BROADCAST_TEXTS), "key", "left").drop("key")
+    done = met.mapInArrow(_cut, schema)
+    return done.select(*(F.col("text").alias(c) if c == text_col else F.col(own[rest.index(c)]).alias(c) for c in docs.columns))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -238,7 +238,7 @@ def brute_contamination(documents, items, window=10):
         w = word.findall((t or "").translate(LOWER))
         n = min(window, len(w))
         for k in range(len(w) - n + 1 if n else 0):
-            phrases.setdefault(tuple(w[k : k + n]), set()).add(i)
+            phrases.setdefault(tuple(w[k : k + n]), set()).update([i] if i is not None else [])
     out = []
     for i, t in documents:
         w = word.findall((t or "").translate(LOWER))
@@ -253,6 +253,26 @@ def brute_contamination(documents, items, window=10):
     return sorted(out, key=repr)
 
 
+@pytest.mark.parametrize("block", [1, 3, 40])
+def test_decontamination_in_small_blocks(spark, monkeypatch, block):
+    """Spans, items and texts do not depend on how many blocks the benchmark takes."""
+    items = [(1, "a b c"), (2, "c d e"), (2, "x y z w"), (None, "q r s"), (3, "a b c"), (4, "A one-word"), (5, None), (6, "h i j k l m n"), (1, "y z w v")]
+    made = [(1, "p a b c d e q"), (2, "x y z w v"), (3, "q r s"), (4, None), (5, ""), (6, "-- !"), (None, "h i j k l m n o"), (6, "a one, word; c, D! e"), (1, "p a b c d e q"), (7, "k m l " * 30_000)]
+    frame = spark.createDataFrame(made, "doc_id long, text string").withColumn("key", F.lit("k")).withColumn("spans", F.lit(1)).withColumn("c0", F.lit("c")).withColumn("a.b", F.lit("d"))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("i", F.lit(1)).withColumn("w", F.lit(2))
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    want = brute_contamination(made, items, 3)
+    whole = fmindex.decontaminated(frame, bench, 3)
+    assert whole.columns == frame.columns
+    texts = rows(whole, *(c for c in frame.columns if c != "a.b"))
+    assert rows(fmindex.digest(fmindex.contamination(frame, bench, 3)), *names) == want
+    monkeypatch.setattr(fmindex, "BLOCK_WORDS", block)
+    assert next(fmindex._blocks(bench, 3, "item_id", "text"))[1] > (1 if block < 40 else 0)
+    assert rows(fmindex.digest(fmindex.contamination(frame, bench, 3)), *names) == want
+    assert rows(fmindex.decontaminated(frame, bench, 3), *(c for c in frame.columns if c != "a.b")) == texts
+    assert {(t[0], t[1]) for t in texts} >= {(1, "p  q"), (4, None), (5, ""), (6, "-- !"), (None, " o"), (7, "k m l " * 30_000)} and not {2, 3} & {t[0] for t in texts}
+
+
 @pytest.mark.parametrize("block", [1_000_000, 300])
 def test_contamination(spark, docs, monkeypatch, block):
     monkeypatch.setattr(fmindex, "BLOCK_WORDS", block)
@@ -278,7 +298,7 @@ def test_decontaminated_text_of_several_blocks(spark, docs, monkeypatch):
     frame = docs.select("doc_id", "text").union(more)
     want = rows(fmindex.decontaminated(frame, bench), "doc_id", "text")
     monkeypatch.setattr(fmindex, "BLOCK_WORDS", 300)
-    assert len(fmindex._blocks(bench, 10, "item_id", "text")) > 2
+    assert next(fmindex._blocks(bench, 10, "item_id", "text"))[1] > 2
     assert rows(fmindex.decontaminated(frame, bench), "doc_id", "text") == want
     assert (2000, "keep  this") in want and not any(i == 2001 for i, _ in want)
 
