@@ -2,16 +2,19 @@
 
 Runs of 1 to 4 bytes of the lowered letters (all else is one space) are hashed into
 ``WIDTH`` places.  Document frequencies come from all training rows.  Each language has up to
-``CENTROIDS`` unit centroids, made by spherical k-means from at most about ``SAMPLE`` of its rows,
-drawn by a hash of id and text.  A text goes to the language of the centroid of greatest
+``CENTROIDS`` unit centroids, made by spherical k-means from about ``SAMPLE`` of its different
+texts, drawn by a hash of the text, and never from more than twice as many: copies of a text are
+drawn once, so a text with a third of all rows is one row of the sample.  A text goes to the language of the centroid of greatest
 cosine.  What cosine to expect grows with a text's distinct n-grams n as sqrt(n / (n + ``HALF``));
 a text is rejected if its cosine, over that, is below ``MARGIN`` times the ``QUANTILE`` of the
 language's different sample rows, each half of them held against the centroids of the other half.
 A language of one such row takes the least limit of the others.
 
 Defined results: a null text or one without letters is ``und`` with score 0 and rejected; ties
-go to the first language by name; rows without a lang are not learned from; without any
-training rows every text is ``und``; repeated rows have equal results; extra columns are ignored.
+go to the first language by name; very long texts are read whole; rows without a lang are not
+learned from; without any training rows every text is ``und`` and rejected; repeated rows have
+equal results; an empty table gives no rows; extra columns are ignored by ``languages`` and kept
+by ``accepted``, which decides each row by itself.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.staging import broadcast_if_small
 from . import words
 from .cluster import bounded_batches, staged
 
@@ -87,10 +91,15 @@ def _frequencies(batches):
 
 
 def _sampled(batches):
+    met: set[tuple] = set()
     for batch in batches:
-        for rows, x in _vectors(batch):
+        fresh = []
+        for own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            fresh.append(own not in met)
+            met.add(own)
+        for rows, x in _vectors(batch.filter(pa.array(fresh, pa.bool_()))):
             flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, WIDTH, dtype=np.int32), pa.array(x.reshape(-1).astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("lang")), flat], names=["lang", "x"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), flat], names=["lang", "hash", "x"])
 
 
 def cluster(x: np.ndarray, k: int, turns: int = 10) -> np.ndarray:
@@ -152,13 +161,15 @@ def fit(docs: DataFrame) -> Centroids:
     for r in table:
         df[r["slot"]] = r["n"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    sizes = train.groupBy("lang").agg(F.count("*").alias("n"))
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    some = train.join(F.broadcast(sizes), "lang").filter(draw * F.col("n") < SAMPLE).select("lang", "text")
-    drawn = staged(some.mapInArrow(_sampled, "lang string, x array<float>"), "langid-sample")
+    keyed = train.select("lang", F.xxhash64("text").alias("hash"), "text")
+    sizes = keyed.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    draw = F.pmod("hash", F.lit(1 << 40)) / F.lit(float(1 << 40))
+    some = keyed.join(broadcast_if_small(sizes, 100_000), "lang").filter(draw * F.col("n") < SAMPLE)
+    # Of equal texts the first that a task meets, then one of all tasks: vectors alone are shuffled.
+    drawn = staged(some.select("lang", "hash", "text").mapInArrow(_sampled, "lang string, hash long, x array<float>").dropDuplicates(["lang", "hash"]), "langid-sample")
     of, limits = {}, {}
     for lang in sorted(r["lang"] for r in sizes.collect()):
-        x = np.array([r["x"] for r in drawn.filter(F.col("lang") == lang).select("x").collect()], dtype=np.float32).reshape(-1, WIDTH)
+        x = np.array([r["x"] for r in drawn.filter(F.col("lang") == lang).orderBy("hash").limit(2 * SAMPLE).select("x").collect()], dtype=np.float32).reshape(-1, WIDTH)
         x = x[x.sum(axis=1) > 0]
         if len(x):
             of[lang] = cluster(unit(x.astype(np.float64), idf), CENTROIDS)
@@ -167,22 +178,37 @@ def fit(docs: DataFrame) -> Centroids:
     return Centroids(idf, of, {k: lowest if v is None else v for k, v in limits.items()})
 
 
+def _decided(model: Centroids, batch: pa.RecordBatch, column: str = "text"):
+    """(rows, language, score, rejected) for runs of the batch's rows."""
+    for rows, x in _vectors(batch, column):
+        lang, score, rejected = model.predict(x)
+        # Only letters count: a cheap test settles most texts, str.isalpha the others.
+        texts = rows.column(rows.schema.get_field_index(column)).to_pylist()
+        bare = np.array([t is None or not (x[k].sum() > 1 and any(map(str.isalpha, t[:64]))) and not any(map(str.isalpha, t)) for k, t in enumerate(texts)], bool)
+        yield rows, ["und" if b else name for name, b in zip(lang, bare, strict=True)], np.where(bare, 0.0, score), rejected | bare
+
+
 def _predicted(model: Centroids):
     def of(batches):
         for batch in batches:
-            for rows, x in _vectors(batch):
-                lang, score, rejected = model.predict(x)
-                # Only letters count: a cheap test settles most texts, str.isalpha the others.
-                texts = rows.column(rows.schema.get_field_index("text")).to_pylist()
-                bare = [t is None or not (x[k].sum() > 1 and any(map(str.isalpha, t[:64]))) and not any(map(str.isalpha, t)) for k, t in enumerate(texts)]
-                lang = ["und" if b else name for name, b in zip(lang, bare, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(lang), pa.array(np.where(bare, 0.0, score)), pa.array(rejected | np.array(bare, bool))], names=["doc_id", "lang_pred", "score", "rejected"]
-                )
+            for rows, lang, score, rejected in _decided(model, batch):
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     return of
 
 
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is near enough to a language; each is decided where it is read."""
+    model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
+
+    def of(batches):
+        for batch in batches:
+            for rows, _, _, rejected in _decided(model, batch):
+                yield rows.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(of, docs.schema)
+
+
 def languages(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score, rejected."""
     model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))

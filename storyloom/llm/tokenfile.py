@@ -14,8 +14,13 @@ words; u2 places; u4 differences.
 Segments travel through Spark's own writer as the binary column of a Parquet table in the
 shared folder: a file appears only when its task has committed, on any file system.
 
-Defined results: null or empty texts have the end id alone; repeated doc_ids follow each
-other; a null doc_id sorts first; an empty table writes no segment; extra columns are ignored.
+``read_range`` reads any stretch of ids by the index: of each segment that it meets only the head
+and the blocks it needs are decoded.
+
+Defined results: null or empty texts have the end id alone; very long texts are encoded whole and
+never split over segments; repeated doc_ids follow each other, by a hash of the text and then as
+they were read; a null doc_id sorts first; an empty table writes no segment; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -101,8 +106,8 @@ def encode_segment(docs: list[int | None], counts: np.ndarray, ids: np.ndarray)
     return b"".join([MAGIC, head.tobytes(), table.tobytes(), index.tobytes(), *(w.astype("<u8").tobytes() for w in words), where.tobytes(), what.tobytes()])
 
 
-def decode_segment(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(doc_ids, counts, ids) of a segment."""
+def _parts(raw: bytes):
+    """(head, documents, index, packed words, places, differences) of a segment, as views of its bytes."""
     if raw[: len(MAGIC)] != MAGIC:
         raise ValueError("not a token segment")
     at = len(MAGIC)
@@ -115,8 +120,29 @@ def decode_segment(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
 
     head = take(_HEAD, 1)[0]
     table, index = take(_DOC, int(head["docs"])), take(_IDX, int(head["blocks"]))
-    packed = take("<u8", int((index["width"].astype(np.int64) * (BLOCK // 64)).sum())).astype(np.uint64)
-    where, what = take("<u2", int(head["exceptions"])), take("<u4", int(head["exceptions"]))
+    packed = take("<u8", int((index["width"].astype(np.int64) * (BLOCK // 64)).sum()))
+    return head, table, index, packed, take("<u2", int(head["exceptions"])), take("<u4", int(head["exceptions"]))
+
+
+def decode_blocks(raw: bytes, first: int, last: int) -> np.ndarray:
+    """The ids of blocks ``first`` to ``last`` alone, by the index; the others are not decoded."""
+    head, _, index, packed, where, what = _parts(raw)
+    out = []
+    for k in range(first, last + 1):
+        width, start = int(index["width"][k]), int(index["start"][k])
+        grid = np.zeros(BLOCK, dtype=np.uint64)
+        if width:
+            grid = _unpack(packed[start : start + BLOCK // 64 * width].astype(np.uint64).reshape(-1, width), width).reshape(-1)
+        own = slice(int(index["except"][k]), int(index["except"][k + 1]) if k + 1 < len(index) else len(where))
+        grid[where[own]] = what[own]
+        out.append((grid + index["low"][k])[: int(head["ids"]) - k * BLOCK])
+    return np.concatenate(out).astype("<u4")
+
+
+def decode_segment(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """(doc_ids, counts, ids) of a segment."""
+    head, table, index, packed, where, what = _parts(raw)
+    packed = packed.astype(np.uint64)
     grid = np.zeros((len(index), BLOCK), dtype=np.uint64)
     for w in np.unique(index["width"]):
         if w:
@@ -157,6 +183,7 @@ def _write(path: str, drops_space: bool, end_id: int):
     return of
 
 
+_TABLE = "part int, seg int, n_docs long, n_ids long, payload binary"
 _SEGMENT = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
 
@@ -165,20 +192,44 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2, dro
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    segments = rows.mapInArrow(_write(tokenizer, drops_space, end_id), "part int, seg int, n_docs long, n_ids long, payload binary")
+    # The rows of one id, if it has many, are cut by text and place as well.
+    order = ["doc_id", "hash", "line"]
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("line", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    segments = rows.mapInArrow(_write(tokenizer, drops_space, end_id), _TABLE)
     segments.write.option("compression", "uncompressed").parquet(out)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary) of each document, decoded from the written files."""
-    table = spark.read.schema("part int, seg int, n_docs long, n_ids long, payload binary").parquet(path)
+def _bases(table: DataFrame) -> DataFrame:
+    """(part, seg, base): the ids before each segment."""
     counts = table.select("part", "seg", "n_ids")
     # Segments are summed within their range partition and range partitions among themselves,
     # so the one-task window sees as many rows as there are partitions.
     whole = counts.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     inner = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seg")) - F.col("n_ids")
-    starts = counts.select("part", "seg", inner.alias("inner")).join(whole, "part").select("part", "seg", (F.col("inner") + F.col("before")).alias("base"))
+    return counts.select("part", "seg", inner.alias("inner")).join(whole, "part").select("part", "seg", (F.col("inner") + F.col("before")).alias("base"))
+
+
+def read_range(spark: SparkSession, path: str, start: int, length: int) -> DataFrame:
+    """(start, ids binary): the ids from ``start`` on, a row per segment that holds some of them."""
+    table = spark.read.schema(_TABLE).parquet(path)
+    met = _bases(table).join(table.select("part", "seg", "n_ids"), ["part", "seg"]).filter((F.col("base") < start + length) & (F.col("base") + F.col("n_ids") > start))
+    chosen = table.select("part", "seg", "payload").join(F.broadcast(met), ["part", "seg"]).select("base", "n_ids", "payload")
+
+    def of(batches):
+        for batch in batches:
+            for base, n, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                a, b = max(start - base, 0), min(start + length - base, n)
+                ids = decode_blocks(raw, a // BLOCK, (b - 1) // BLOCK)[a % BLOCK :][: b - a]
+                yield pa.RecordBatch.from_arrays([pa.array([base + a]), pa.array([ids.tobytes()], pa.binary())], names=["start", "ids"])
+
+    return chosen.mapInArrow(of, "start long, ids binary")
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids binary) of each document, decoded from the written files."""
+    table = spark.read.schema(_TABLE).parquet(path)
+    starts = _bases(table)
     decoded = table.select("part", "seg", "payload").mapInArrow(_read, "part int, seg int, doc_id long, local long, n_tokens long, ids_crc32 long, ids binary")
     return decoded.join(starts, ["part", "seg"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "ids")
 

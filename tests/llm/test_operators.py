@@ -316,9 +316,78 @@ def test_token_files(docs):
         assert (f["start"], f["n_tokens"], f["ids_crc32"], bytes(f["ids"])) == (at, len(ids), zlib.crc32(ids.tobytes()), ids.tobytes())
         at += len(ids)
     assert tokenfile.token_files(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+    again = tokenfile.token_files(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    ends = sorted((r["start"], r["n_tokens"], r["doc_id"] if r["doc_id"] is not None else -1) for r in again)
+    assert [a for a, _, _ in ends] == [sum(n for _, n, _ in ends[:k]) for k in range(len(ends))] and [i for _, _, i in ends] == sorted(i for _, _, i in ends)
     assert tokenfile.token_files(docs, public_tokenizers.path("byte_bpe_50k.json")).count() == docs.count()
 
 
+def test_ids_of_a_stretch_by_the_index(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfile, "SEGMENT_IDS", 1 << 14)
+    out, own = f"file://{tmp_path}/tokens", docs.filter("doc_id > 2")
+    tokenfile.write_tokens(own, public_tokenizers.path("byte_bpe_50k.json"), out)
+    whole = b"".join(bytes(r["ids"]) for r in sorted(tokenfile.read_tokens(spark, out).collect(), key=lambda r: r["start"]))
+    total = len(whole) // 4
+    for start, length in ((0, 1), (511, 2), (5_000, 40_000), (total - 3, 10), (total, 5)):
+        got = sorted(map(tuple, tokenfile.read_range(spark, out, start, length).collect()))
+        assert b"".join(bytes(x) for _, x in got) == whole[4 * start : 4 * (start + length)] and (not got or got[0][0] == start)
+
+
+def brute_languages(made, sample):
+    """Nearest centroid written out with dictionaries of byte n-grams, for texts that all enter the sample."""
+    import math
+
+    def grams(t):
+        low = "".join(c if c.isalpha() else " " for c in t.lower())
+        low = re.sub(" +", " ", low).encode()
+        out = {}
+        for n in range(1, 5):
+            for k in range(len(low) - n + 1):
+                out[low[k : k + n]] = out.get(low[k : k + n], 0) + 1
+        return out
+
+    train = {t: lang for i, t, lang in made if zlib.crc32(str(i).encode()) % 4 != 2}
+    rows_, df = [(i, t, lang) for i, t, lang in made if zlib.crc32(str(i).encode()) % 4 != 2], {}
+    for _, t, _ in rows_:
+        for g in grams(t):
+            df[g] = df.get(g, 0) + 1
+
+    def unit(t):
+        v = {g: math.log1p(c) * (math.log((1 + len(rows_)) / (1 + df.get(g, 0))) + 1) for g, c in grams(t).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {g: x / norm for g, x in v.items()}
+
+    centre = {}
+    for t, lang in train.items():
+        for g, x in unit(t).items():
+            centre.setdefault(lang, {}).setdefault(g, 0.0)
+            centre[lang][g] += x
+    norm = {lang: math.sqrt(sum(x * x for x in c.values())) for lang, c in centre.items()}
+    return {i: max(sorted(centre), key=lambda lang: sum(x * centre[lang].get(g, 0.0) for g, x in unit(t).items()) / norm[lang]) for i, t, _ in made}
+
+
+def test_languages_against_brute_force(spark, monkeypatch):
+    """One centroid a language and no shared places of the hash to speak of: the same language for every text."""
+    monkeypatch.setattr(langid, "CENTROIDS", 1)
+    base = spark.read.parquet(f"{DATA}/documents.parquet").filter("length(text) BETWEEN 200 AND 3000").select("doc_id", "text", "lang").collect()
+    made = [tuple(r) for r in base]
+    want = brute_languages(made, langid.SAMPLE)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.languages(spark.createDataFrame(made, "doc_id long, text string, lang string")).collect()}
+    assert np.mean([got[i] == want[i] for i in want]) >= 0.99 and len(got) > 80
+
+
+def test_copies_are_drawn_once(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 20)
+    base = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("length(text) > 200").select("doc_id", "text", "lang").collect()]
+    copied = [(10_000 + k, base[0][1], base[0][2]) for k in range(2000)]
+    frame = spark.createDataFrame(base + copied, "doc_id long, text string, lang string")
+    model = langid.fit(frame)
+    assert set(model.names) == {x for _, _, x in base} and all((model.owner == k).sum() <= langid.CENTROIDS for k in range(len(model.names)))
+    got = langid.languages(frame).filter("doc_id < 10000").collect()
+    truth = {i: x for i, _, x in base}
+    assert np.mean([truth[r["doc_id"]] == r["lang_pred"] for r in got]) >= 0.95
+
+
 def test_languages(docs):
     got = langid.languages(docs).collect()
     truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
@@ -341,6 +410,7 @@ FOREIGN = {
     "ru": "Правительство вчера объявило о новых мерах поддержки семей. По мнению экспертов, решение может положительно повлиять на экономический рост страны.",
     "zh": "政府昨天宣布了支持家庭的新措施。专家认为，这一决定在未来几年可能对国家的经济增长产生积极影响。",
     "hex": hashlib.sha512(b"a").hexdigest() * 5,
+    "made up": "xkq zvw qqj wvx kkz jqx vvq zzk xwj qkv zxq wkj vqz jjx kwq zvx qwk xjz kvq wzj xqv kzw jvx qzk wxv jkq",
     "base64": base64.b64encode(random.Random(1).randbytes(600)).decode(),
 }
 
