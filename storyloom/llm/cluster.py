@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..plans.staging import drop_staged, shared_dir, stage_path, staged
 
-__all__ = ["bounded_batches", "components", "drop_staged", "partitions", "ranked", "shared_dir", "stage_path", "staged", "window_target"]
+__all__ = ["bounded_batches", "components", "drop_staged", "partitions", "ranked", "rows_kept", "shared_dir", "stage_path", "staged", "window_target"]
 
 #: Rows of a window partition are kept under this many, whatever the key's weight.
 WINDOW_ROWS = 100_000
@@ -32,6 +32,18 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(limit))
 
 
+def rows_kept(docs: DataFrame, text_col: str, keep) -> DataFrame:
+    """The rows of ``docs`` that ``keep`` (batch, name of the text column -> batches) lets through, whatever the columns are called."""
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    name = f"c{docs.columns.index(text_col)}"
+
+    def of(batches):
+        for batch in batches:
+            yield from keep(batch, name)
+
+    return plain.mapInArrow(of, plain.schema).toDF(*docs.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

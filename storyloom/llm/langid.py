@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.staging import broadcast_if_small
 from . import words
-from .cluster import bounded_batches, staged
+from .cluster import bounded_batches, rows_kept, staged
 
 WIDTH, CENTROIDS, SAMPLE = 4096, 3, 400
 QUANTILE, MARGIN, HALF = 0.01, 0.9, 800
@@ -201,12 +201,11 @@ def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text is near enough to a language; each is decided where it is read."""
     model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
 
-    def of(batches):
-        for batch in batches:
-            for rows, _, _, rejected in _decided(model, batch):
-                yield rows.filter(pa.array(~rejected))
+    def keep(batch, text):
+        for some, _, _, rejected in _decided(model, batch, text):
+            yield some.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(of, docs.schema)
+    return rows_kept(docs, "text", keep)
 
 
 def languages(docs: DataFrame) -> DataFrame:

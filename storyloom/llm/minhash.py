@@ -2,7 +2,8 @@
 
 A document's set is its distinct word shingles.  Equal sets are one class from the
 start.  Each class keeps the low ``BITS`` bits of ``PERMUTATIONS`` minima, packed in
-longs, and ``BANDS`` keys of ``ROWS`` minima.  Classes that share a band key are
+longs, and the keys of bands of minima.  The longest bands are taken that miss a pair at the
+threshold with a chance of at most ``MISS``.  Classes that share a band key are
 candidates; their similarity is estimated from the packed bits (corrected for chance
 collisions), and what is not clearly below the threshold is confirmed on full sets.
 
@@ -10,14 +11,17 @@ Buckets need not emit all pairs.  In each of ``TURNS`` turns a bucket's members
 compared with one member, drawn by a hash of band, id and turn; components of the confirmed
 links label the members, and only buckets that still hold several labels go on.  At last
 those that are left compare members of different labels: small ones pair by pair, large ones
-in blocks of bounded size that hold the full sets and hand on links only.  Pairs of one label
-cannot change a component, so the result equals that of comparing all candidates.
+in blocks of bounded size.  A block first holds the packed bits alone; only members with a likely
+mate of another label are brought again with their full sets, and a block hands on a forest of
+links, not its pairs.  Pairs of one label cannot change a component, so the result equals that of
+comparing all candidates.
 
 Defined results: null, empty or word-less texts have no shingles and link with nothing;
-a text of fewer words than a shingle is one shingle.  doc_id names a document: rows that
-repeat it each return its component, and if their texts differ the document has the links
-of all of them.  A null doc_id joins its class but is never its least id.  Extra columns
-are ignored.
+a text of fewer words than a shingle is one shingle; very long texts are read whole.  doc_id
+names a document: rows that repeat it each return its component, and if their texts differ the
+document has the links of all of them.  A null doc_id joins its class but is never its least id.
+An empty table gives no rows.  Extra columns are ignored by ``near_duplicates`` and kept by
+``one_of_each``, for which every row is a document of its own.
 """
 
 from __future__ import annotations
@@ -29,7 +33,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import words
 from .cluster import bounded_batches, components, staged
 
-PERMUTATIONS, BITS, BANDS, ROWS = 144, 4, 24, 6
+PERMUTATIONS, BITS = 144, 4
+#: Chance at most that no band of a pair at the threshold is equal.
+MISS = 2e-5
 #: An estimate this far under the threshold is nearly five standard errors away.
 SLACK = 0.15
 #: Turns in which each bucket's members are compared with one of them, another in each band and turn.
@@ -53,7 +59,15 @@ def _lists(values: np.ndarray, width: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.arange(0, len(values) + 1, width, dtype=np.int32), pa.array(values.view(np.int64)))
 
 
-def _signatures(n: int):
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, minima of a band) for a threshold."""
+    for rows in range(12, 1, -1):
+        if (1 - (percent / 100) ** rows) ** (PERMUTATIONS // rows) <= MISS:
+            return PERMUTATIONS // rows, rows
+    return PERMUTATIONS, 1
+
+
+def _signatures(n: int, count_bands: int, band_rows: int):
     def of(batches):
         for batch in batches:
             for rows, data, offsets in words.slices(batch, "text"):
@@ -78,9 +92,9 @@ def _signatures(n: int):
                 sig = np.zeros((size, _LONGS), np.uint64)
                 for k in range(PERMUTATIONS):
                     sig[:, k // per] |= low_bits[k] << np.uint64(BITS * (k % per))
-                bands = np.stack([words.combine([wide[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)], axis=1)
+                bands = np.stack([words.combine([wide[b * band_rows + r] for r in range(band_rows)]) for b in range(count_bands)], axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(rows.schema.get_field_index("_id")).cast(pa.int64()), pa.array(count), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), _lists(sig.reshape(-1), _LONGS), _lists(bands.reshape(-1), BANDS)],
+                    [rows.column(rows.schema.get_field_index("_id")).cast(pa.int64()), pa.array(count), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), _lists(sig.reshape(-1), _LONGS), _lists(bands.reshape(-1), count_bands)],
                     names=["_id", "n_shingles", "fp1", "fp2", "sig", "bands"],
                 )
 
@@ -127,26 +141,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     spark = docs.sparkSession
     bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
-    signed = staged(source.mapInArrow(_signatures(shingle), _SIGNED), "minhash-signed")
+    signed = staged(source.mapInArrow(_signatures(shingle, *banding(percent)), _SIGNED), "minhash-signed")
     classes = signed.filter("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("_id").alias("rep"))
     classes = staged(classes, "minhash-classes")
     reps = signed.filter("n_shingles > 0").join(classes.select(F.col("rep").alias("_id"), "fp1", "fp2"), ["_id", "fp1", "fp2"]).dropDuplicates(["_id", "fp1", "fp2"])
     reps = staged(reps.select("_id", "n_shingles", "sig", "bands"), "minhash-reps")
 
     keyed = reps.select(F.explode("bands").alias("band"), "_id")
-    met = keyed.groupBy("band").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo <> hi").select("band")
+    met = staged(keyed.groupBy("band").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo <> hi").select("band"), "minhash-bands")
     bucketed = staged(keyed.join(met, "band"), "minhash-members")
     light = reps.select("_id", "n_shingles", "sig")
     links, label, left = None, None, bucketed.withColumn("comp", F.col("_id"))
     for turn in range(TURNS):
-        lead = left.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "_id", F.lit(turn)).alias("h"), "_id", "comp")).alias("lead"))
+        # Staged, so that a bucket of any weight meets its one leader by broadcast or in a join that AQE splits.
+        lead = staged(left.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "_id", F.lit(turn)).alias("h"), "_id", "comp")).alias("lead")), "minhash-lead")
         pairs = left.join(lead, "band").filter(F.col("comp") != F.col("lead.comp"))
         pairs = pairs.select(F.least("_id", "lead._id").alias("a"), F.greatest("_id", "lead._id").alias("b")).distinct()
         more = _confirmed(source, _likely(pairs, light, percent), shingle, percent)
         links = staged(more if links is None else links.union(more), "minhash-links")
         label = staged(components(links, "minhash-components"), "minhash-labels").withColumnRenamed("node", "_id")
         named = bucketed.join(label, "_id", "left").withColumn("comp", F.coalesce("comp", "_id"))
-        mixed = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
+        mixed = staged(named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band"), "minhash-mixed-bands")
         bucketed = left = staged(named.join(mixed, "band"), "minhash-mixed")
         if left.isEmpty():
             break
@@ -154,9 +169,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     if not left.isEmpty():
         # Bands often give one and the same set of members: each set is compared once.
         per = left.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("_id").cast("decimal(38,0)")).alias("h"))
-        chosen = staged(left.join(per.groupBy("n", "h").agg(F.min("band").alias("band")).drop("h"), "band"), "minhash-chosen")
+        per = staged(per.groupBy("n", "h").agg(F.min("band").alias("band")).drop("h"), "minhash-chosen-bands")
+        chosen = staged(left.join(per, "band"), "minhash-chosen")
         more = _confirmed(source, _paired(chosen.filter(F.col("n") <= PAIRED), light, percent), shingle, percent)
-        more = staged(more.union(_in_blocks(source, chosen.filter(F.col("n") > PAIRED), shingle, percent)), "minhash-links")
+        more = staged(more.union(_in_blocks(source, chosen.filter(F.col("n") > PAIRED), light, shingle, percent)), "minhash-links")
         if not more.isEmpty():
             label = staged(components(links.union(more), "minhash-components"), "minhash-labels").withColumnRenamed("node", "_id")
 
@@ -166,6 +182,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     return known.union(bare).select(F.col("_id").alias("doc_id"), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one is left of each group of near-duplicates.
+
+    Rows are numbered, so repeated and null ids are documents like any other: of a group the row of
+    least id stays, a null id after all others and the first row on a tie.  Texts without words stay.
+    """
+    line = F.monotonically_increasing_id().alias("_line")
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    numbered = staged(docs.select(line, F.col(id_col).cast("long").alias("_key"), F.col(text_col).alias("_text"), own), "minhash-numbered")
+    found = near_duplicates(numbered, shingle, percent, "_line", "_text").select(F.col("doc_id").alias("_line"), "component_id")
+    first = F.min(F.struct(F.col("_key").isNull(), "_key", "_line").alias("s"))
+    stays = numbered.select("_line", "_key").join(found, "_line").groupBy("component_id").agg(first.alias("least")).select(F.col("least._line").alias("_line"))
+    return numbered.join(staged(stays, "minhash-stays"), "_line", "left_semi").select(*(F.col("_row")[c].alias(c) for c in docs.columns))
+
+
 def _likely(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs whose sizes and estimated similarity do not rule a link out."""
     a = light.select(F.col("_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
@@ -188,16 +219,40 @@ def _paired(members: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     return staged(x.join(y, (x["band"] == y["band"]) & near).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), "minhash-more")
 
 
-def _in_blocks(source: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links of different labels in large buckets, whose members meet block by block with their full sets."""
-    ids = staged(members.select("_id").distinct(), "minhash-ids")
+def _in_blocks(source: DataFrame, members: DataFrame, light: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links of different labels in large buckets, whose members meet block by block: by packed bits, then those with a likely mate by full sets."""
     parts = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
     cut = members.withColumn("part", F.pmod(F.xxhash64("_id"), parts).cast("int")).withColumn("mate", F.explode(F.sequence(F.lit(0), parts - 1)))
     cut = cut.select("band", F.least("part", "mate").alias("x"), F.greatest("part", "mate").alias("y"), "part", "_id", "comp")
-    dealt = cut.join(_own_sets(source, ids, shingle).select("_id", "own"), "_id")
+    cut = staged(cut, "minhash-blocks")
+    likely = cut.join(light, "_id").groupBy("band", "x", "y").applyInArrow(_block_likely(percent), "band long, x int, y int, part int, _id long, comp long")
+    likely = staged(likely, "minhash-block-members")
+    ids = staged(likely.select("_id").distinct(), "minhash-ids")
+    dealt = likely.join(_own_sets(source, ids, shingle).select("_id", "own"), "_id")
     return dealt.groupBy("band", "x", "y").applyInArrow(_block_links(percent), "a long, b long")
 
 
+def _block_likely(percent: int):
+    """Members of a block with a mate of another label whose size and estimate do not rule a link out."""
+
+    def of(table: pa.Table) -> pa.Table:
+        comp, part, size = (table.column(c).to_numpy() for c in ("comp", "part", "n_shingles"))
+        sig = table.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, _LONGS)
+        left, right = np.flatnonzero(part == table.column("x")[0].as_py()), np.flatnonzero(part == table.column("y")[0].as_py())
+        low, chance, some = np.uint64(0x1111111111111111), 1.0 / (1 << BITS), np.zeros(len(comp), bool)
+        for k in left:
+            x = sig[right] ^ sig[k]
+            x |= x >> np.uint64(2)
+            x |= x >> np.uint64(1)
+            alike = (1 - np.bitwise_count(x & low).sum(axis=1) / PERMUTATIONS - chance) / (1 - chance)
+            near = (alike >= percent / 100 - SLACK) & (comp[right] != comp[k]) & (np.minimum(size[right], size[k]) * 100 >= np.maximum(size[right], size[k]) * percent)
+            some[k] |= near.any()
+            some[right[near]] = True
+        return table.select(["band", "x", "y", "part", "_id", "comp"]).filter(pa.array(some))
+
+    return of
+
+
 def _block_links(percent: int):
     def of(table: pa.Table) -> pa.Table:
         ids, comp, part = (table.column(c).to_numpy() for c in ("_id", "comp", "part"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.staging import broadcast_if_small
 from . import words
-from .cluster import bounded_batches, staged
+from .cluster import bounded_batches, rows_kept, staged
 
 #: Weights of the diagonal and of the pooled covariance, and the least variance.
 DIAGONAL, POOLED, FLOOR = 0.1, 0.05, 1e-3
@@ -147,16 +147,6 @@ def fit(features: DataFrame, labels: DataFrame, held_out: Column) -> Discriminan
     return Discriminant({c: s.reshape(FEATURES + 1, -1) for c, s in out.items()})
 
 
-def _decided(model: Discriminant, text: str, threshold: float):
-    def of(batches):
-        for batch in batches:
-            for rows, data, offsets in words.slices(batch, text):
-                score = model.score(statistics(data, offsets))
-                yield rows.filter(pa.array(score >= threshold))
-
-    return of
-
-
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores at least ``threshold``.
 
@@ -169,7 +159,12 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     learned = rows.filter(~held()).join(ids, "doc_id", "left_semi").mapInArrow(_features(1), "doc_id long, f array<double>")
     model = fit(learned, known, held())
-    return docs.mapInArrow(_decided(model, text_col, threshold), docs.schema)
+
+    def keep(batch, text):
+        for some, data, offsets in words.slices(batch, text):
+            yield some.filter(pa.array(model.score(statistics(data, offsets)) >= threshold))
+
+    return rows_kept(docs, text_col, keep)
 
 
 def _scored(model: Discriminant):

@@ -166,6 +166,26 @@ def test_lattice_decodes_to_the_nearest_point():
     assert (d1 <= d2 + 1e-9).all() and (d1 <= 1 + 1e-9).all() and (near != second).any(axis=1).all()
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_bands_and_estimate_catch_pairs_at_the_threshold(percent):
+    """Pairs of sets of just the threshold's similarity: the share that a band and the estimate lead to."""
+    rng, tried, union = np.random.default_rng(percent), 1500, 200
+    common, texts = union * percent // 100, []
+    alone = (union - common) // 2
+    for _ in range(tried):
+        w = rng.choice(1 << 40, union, replace=False)
+        texts += [" ".join(map(str, w[: common + alone])), " ".join(map(str, [*w[:common], *w[common + alone :]]))]
+    out = next(iter(minhash._signatures(1, *minhash.banding(percent))([pa.RecordBatch.from_pydict({"_id": list(range(2 * tried)), "text": texts})])))
+    key = np.array(out.column(5).to_pylist())
+    assert (key[::2] == key[1::2]).any(axis=1).mean() >= 0.999
+    sig = np.array(out.column(4).to_pylist(), dtype=np.int64).view(np.uint64)
+    x = sig[::2] ^ sig[1::2]
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    alike = (1 - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1) / minhash.PERMUTATIONS - 1 / 16) / (15 / 16)
+    assert abs(alike.mean() - percent / 100) < 0.01 and (alike >= percent / 100 - minhash.SLACK).mean() >= 0.999
+
+
 def test_lattice_cells_catch_pairs_at_the_threshold():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((1500, 64))
