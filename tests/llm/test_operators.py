@@ -139,26 +139,56 @@ def brute_links(pairs):
     unit = np.array([fine[i] / np.linalg.norm(fine[i]) for i in ids])
     near = unit @ unit.T >= 0.95
     np.fill_diagonal(near, False)
-    return dict(zip(ids, near.sum(axis=1).tolist()))
+    root = {i: i for i in ids}
 
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
 
-def test_near_vectors(spark, monkeypatch):
+    for i, j in zip(*np.nonzero(near)):
+        p, q = find(ids[i]), find(ids[j])
+        root[max(p, q)] = min(p, q)
+    return dict(zip(ids, near.sum(axis=1).tolist())), {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("small", [2, 16, 1000])
+def test_near_vectors(spark, monkeypatch, small):
     monkeypatch.setattr(lattice, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(lattice, "SMALL", small)
     rng = np.random.default_rng(6)
     centre = rng.standard_normal((6, 64))
     made = [(k, (centre[k % 6] + rng.standard_normal(64) * (0.05 if k % 3 else 0.2)).astype(np.float32).tolist()) for k in range(150)]
     made += [(1000, None), (1001, [0.0] * 64), (1002, [None] * 64), (1003, [float("nan")] * 64), (1004, [float("inf")] * 64), (1005, [1.0, 2.0])]
     frame = spark.createDataFrame(made, "vec_id long, embedding array<float>").withColumn("id", F.lit(1)).withColumn("cell", F.lit(2))
     got = {r["vec_id"]: r for r in lattice.near_vectors(frame).collect()}
-    want = brute_links(made)
+    want, component = brute_links(made)
     assert {i: r["n_links"] for i, r in got.items()} == {i: want.get(i, 0) for i, _ in made}
-    assert all(got[i]["component_id"] == i and got[i]["kept"] for i in range(1000, 1006))
-    assert all(r["component_id"] <= i and r["kept"] == (r["component_id"] == i) for i, r in got.items())
+    assert {i: (r["component_id"], r["kept"]) for i, r in got.items()} == {i: (component.get(i, i), component.get(i, i) == i) for i, _ in made}
+    assert max(want.values()) > 10 and len(set(component.values())) >= 6
     twice = lattice.near_vectors(frame.filter("vec_id = 0").union(frame.filter("vec_id = 0"))).collect()
     assert [r["n_links"] for r in twice] == [1, 1]
     assert lattice.near_vectors(frame.limit(0)).count() == lattice.near_vectors(frame.filter("vec_id = 1000")).count() - 1 == 0
 
 
+def test_a_chain_of_vectors(spark, monkeypatch):
+    """Neighbours of a long chain link, its ends do not; some links have copies at an end."""
+    monkeypatch.setattr(lattice, "SMALL", 16)
+    rng = np.random.default_rng(9)
+    a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    made = [(k, (np.cos(k * 0.2) * a + np.sin(k * 0.2) * b).astype(np.float32).tolist()) for k in range(30)]
+    made += [(100 + k, made[k][1]) for k in (0, 7, 7)] + [(200, made[29][1])]
+    got = {}
+    for r in lattice.near_vectors(spark.createDataFrame(made, "vec_id long, embedding array<float>")).collect():
+        got.setdefault(r["vec_id"], set()).add((r["n_links"], r["component_id"]))
+    unit = {k: np.array(v, float) / np.linalg.norm(v) for k, v in made}
+    links = [sum(unit[i] @ np.array(w, float) / np.linalg.norm(w) >= 0.95 for _, w in made) - 1 for i, _ in made]
+    assert got == {i: {(n, 0)} for (i, _), n in zip(made, links)} and max(links) <= 8
+    odd = [(None, made[0][1]), (3, made[0][1]), (3, made[20][1]), (None, made[20][1]), (4, made[10][1])]
+    got = lattice.near_vectors(spark.createDataFrame(odd, "vec_id long, embedding array<float>"))
+    assert rows(got, "vec_id", "n_links", "component_id", "kept") == [(3, 1, 3, True), (3, 1, 3, True), (4, 0, 4, True), (None, 1, 3, False), (None, 1, 3, False)]
+
+
 def test_vectors_of_several_lengths(spark):
     rng = np.random.default_rng(3)
     made = [(k, rng.normal(size=n).tolist()) for k, n in enumerate([64] * 5 + [32] * 3)]
