@@ -204,11 +204,62 @@ def test_site_templates(spark):
     made += [(100, None, None), (101, "::bad", ""), (102, "https://c.com", "plain &amp; text"), (0, "https://a.com/0", made[0][2])]
     frame = spark.createDataFrame(made, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("text", F.lit("clash"))
     got = {(r["page_id"], r["url"]): r["text"] for r in templates.main_text(frame).collect()}
-    assert got[3, "https://a.com/3"] == "T3\nText of page 3\nUnique 3"
+    assert got[3, "https://a.com/3"] == "T3\nText of page 3\nA passage that all share"
     assert got[100, None] == "" and got[101, "::bad"] == "" and got[102, "https://c.com"] == "plain & text"
     assert templates.main_text(frame).count() == len(made) and templates.main_text(frame.limit(0)).count() == 0
 
 
+def _site(k, words):
+    """A page without any telling name, whose menu, notice and foot have other words on every page."""
+    menu = "".join(f"<li><a href='/{k}-{x}'>link {k} {x}</a></li>" for x in range(3 + k % 4))
+    return f"<body><div><ul>{menu}</ul></div><div>Notice number {k} of today</div><div class='widget'><h1>Title {k}</h1><p>{words}</p><ul><li>point {k}</li></ul><p>The passage that all share.</p></div><div><p>Foot {k}</p></div></body>"
+
+
+@pytest.mark.parametrize("limit", [64 << 20, -1])
+def test_templates_decide_without_names(spark, monkeypatch, limit):
+    """Counted shapes delete what no name tells, and spare a core that a name would delete; without the counts both go wrong."""
+    monkeypatch.setattr(templates, "BROADCAST_BYTES", limit)
+    body = lambda k: " ".join(f"word{k}x{x}" for x in range(30 + k))
+    made = [(k, "https://a.com/", _site(k, body(k))) for k in range(12)] + [(50 + k, "https://b.com/", _site(k, body(k))) for k in range(4)]
+    made += [(3, "https://a.com/", made[3][2])] * 300 + [(99, "https://a.com/", made[2][2].replace("<body>", "<body><div class='rare'>Seen once</div>"))]
+    frame = spark.createDataFrame(made, "page_id long, url string, html string").withColumn("shapes", F.lit(1)).withColumn("cores", F.lit(2))
+    text = lambda k: f"Title {k}\n{body(k)}\npoint {k}\nThe passage that all share."
+    got = {r["page_id"]: r["text"] for r in templates.main_text(frame).collect()}
+    assert all(got[k] == text(k) for k in range(12)) and got[99] == f"Seen once\n{text(2)}"
+    assert "Foot 1" in got[51] and "Title 1" not in got[51]  # four pages are too few to count
+    monkeypatch.setattr(templates, "MIN_PAGES", 1000)
+    without = {r["page_id"]: r["text"] for r in templates.main_text(frame).collect()}
+    assert all("Foot" in without[k] and "Title" not in without[k] for k in range(12))
+
+
+def test_templates_against_a_plain_count(spark):
+    """The counted hashes of a random site equal those of dictionaries filled page by page."""
+    rng = random.Random(11)
+    piece = lambda: rng.choice(["<div>Menu <a>x</a></div>", "<div><ul><li>a</li><li>b</li></ul></div>", f"<section><p>w{rng.randrange(50)}</p></section>", "<div class='c1'>same</div>", f"<div class='c{rng.randrange(3)}'>t{rng.randrange(4)}</div>"])
+    made = [(k, f"https://{rng.choice('ab')}.com/", "<body>" + "".join(piece() for _ in range(6)) + f"<article><h1>T{k % 40}</h1><p>{'word ' * rng.randrange(40)}</p></article></body>") for k in range(120)]
+    made += made[:30]
+    frame = spark.createDataFrame(made, "page_id long, url string, html string")
+    want = {}
+    for _, url, html in made:
+        page = templates.Page(html)
+        for kind, found in ((templates.EXACT, [(h, 1, 1, h) for h in page.candidates()]), (templates.SHAPE, [(h, 1, 1, h) for h in page.shapes()]), (templates.PLACE, page.places())):
+            for h, share, heading, exact in found:
+                want.setdefault((url[8], kind, h), {})[page.body()] = (share, heading, exact)
+    keep = lambda kind, own: len(own) >= 5 and (kind != templates.PLACE or all(sum(x[c] for x in own.values()) / len(own) >= 0.5 for c in (0, 1)) and 2 * len({x[2] for x in own.values()}) >= len(own))
+    expected = {(host, kind): set() for host in "ab" for kind in (templates.SHAPE, templates.PLACE)}
+    for (host, kind, h), own in want.items():
+        if keep(kind, own) and kind != templates.EXACT:
+            expected[host, kind].add(h)
+    sites, lists = templates.templates(frame)
+    got = {}
+    for r in sites.collect():
+        got[r["host"][0], templates.SHAPE], got[r["host"][0], templates.PLACE] = set(r["shapes"]), set(r["cores"])
+    assert got == expected and all(expected.values())
+    exact = {(host, h) for (host, kind, h), own in want.items() if kind == templates.EXACT and keep(kind, own)}
+    listed = {(r["host"][0], h) for r in lists.collect() for h in r["templates"]}
+    assert listed <= exact
+
+
 @pytest.mark.parametrize("broadcast", [200_000, 0])
 def test_templates_of_a_large_host(spark, monkeypatch, broadcast):
     monkeypatch.setattr(templates, "BROADCAST_PAGES", broadcast)
