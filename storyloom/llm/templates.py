@@ -364,11 +364,11 @@ def _texts(batches):
 
 
 def site_templates(seen: DataFrame) -> DataFrame:
-    """(host, kind, hash): what recurs across a host's different pages, of places only cores; ``seen`` has the columns of ``_SEEN``."""
-    bodies = seen.groupBy("host", "kind", "hash", "body").agg(F.max("share").alias("share"), F.max("heading").cast("int").alias("heading"), F.max("own").alias("own"))
-    counted = bodies.groupBy("host", "kind", "hash").agg(F.count("*").alias("n"), F.avg("share").alias("share"), F.avg("heading").alias("heading"), F.approx_count_distinct("own").alias("own"))
+    """(host, kind, hash): what recurs across a host's different pages and holds text on some, of places only cores; ``seen`` has the columns of ``_SEEN``."""
+    bodies = seen.groupBy("host", "kind", "hash", "body").agg(F.max("share").alias("share"), F.max("heading").cast("int").alias("heading"), F.max("own").alias("own"), F.max("live").alias("live"))
+    counted = bodies.groupBy("host", "kind", "hash").agg(F.count("*").alias("n"), F.avg("share").alias("share"), F.avg("heading").alias("heading"), F.approx_count_distinct("own").alias("own"), F.max("live").alias("live"))
     core = (F.col("kind") != PLACE) | (F.col("share") >= CORE) & (F.col("heading") >= CORE) & (F.col("own") >= CORE * F.col("n"))
-    return counted.filter((F.col("n") >= MIN_PAGES) & core).select("host", "kind", "hash")
+    return counted.filter((F.col("n") >= MIN_PAGES) & core & F.col("live")).select("host", "kind", "hash")
 
 
 def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, DataFrame]:
