@@ -6,7 +6,7 @@ lattice; the points together name a cell.  A vector enters its own cell and thos
 one block is replaced by the nearest point of the other coset (or, where nearer, the second
 point of its own coset), so neighbours across a cell's face still meet.
 
-Only cells with several members count.  In cells of at most ``SMALL`` members every pair is made
+Only cells with several members count, and of cells with the same members one.  In cells of at most ``SMALL`` members every pair is made
 on the JVM from the cell rows, which carry ``SIGNS`` sign bits of random directions: pairs of
 which more than ``DIFFER`` bits differ are far from the threshold (over five standard errors) and
 go at once.  The pairs left, each once, fetch their vectors and are verified by cosine in double
@@ -222,7 +222,10 @@ def _of_length(source: DataFrame, dim: int, least: float) -> DataFrame:
     vectors = classes.select("id", "copies", "v")
     schema = ", ".join(["cell long, id long", *(f"s{k} long" for k in range(SIGNS // 64))])
     cells = staged(vectors.select("id", "v").mapInArrow(_cells(dim), schema), "lattice-cells")
-    sizes = staged(cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "lattice-sizes")
+    members = F.xxhash64("id")
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.bit_xor(members).alias("mark"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("n > 1")
+    # Tables often give one and the same set of members: each set is compared in one of its cells.
+    sizes = staged(sizes.groupBy("n", "mark", "lo", "hi").agg(F.min("cell").alias("cell")).select("cell", "n"), "lattice-sizes")
     leads = staged(_pairs(cells.join(sizes.filter(F.col("n") <= SMALL).select("cell"), "cell")), "lattice-pairs")
     both = leads.join(vectors.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
     pairs = staged(both.select("a", "b", "va", "vb").mapInArrow(_verified(dim, least), "a long, b long"), "lattice-near")
