@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,9 +40,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged() -> None:
-    """Remove every staged table of this process (also runs when it exits)."""
-    while _staged:
+@contextmanager
+def scratch():
+    """Staged tables of this block are removed at its end; what is needed after it must be written inside it."""
+    kept = len(_staged)
+    try:
+        yield
+    finally:
+        drop_staged(kept)
+
+
+def drop_staged(kept: int = 0) -> None:
+    """Remove the staged tables of this process but the first ``kept`` (also runs when it exits)."""
+    while len(_staged) > kept:
         spark, path = _staged.pop()
         try:
             jvm = spark.sparkContext._jvm
