@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..plans.staging import drop_staged, shared_dir, stage_path, staged
+from ..plans.staging import drop_staged, scratch, shared_dir, stage_path, staged
 
-__all__ = ["bounded_batches", "components", "drop_staged", "partitions", "ranked", "rows_kept", "shared_dir", "stage_path", "staged", "window_target"]
+__all__ = ["bounded_batches", "components", "drop_staged", "partitions", "ranked", "rows_kept", "scratch", "shared_dir", "stage_path", "staged", "window_target"]
 
 #: Rows of a window partition are kept under this many, whatever the key's weight.
 WINDOW_ROWS = 100_000
 #: Rows and bytes of an Arrow batch, so a run of very long texts fits a worker.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -93,7 +93,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-low")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = staged(large.filter("a <> b").distinct(), name)
-        low = staged(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), f"{name}-low")
+        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.select(F.col("a").alias("u"), F.col("b").alias("v")).join(low, "u")
         small = small.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select("u", "m"))
         now = staged(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words
-from .cluster import bounded_batches, components, staged
+from .cluster import bounded_batches, components, scratch, stage_path, staged
 
 PERMUTATIONS, BITS = 144, 4
 #: Chance at most that no band of a pair at the threshold is equal.
@@ -188,13 +188,16 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     Rows are numbered, so repeated and null ids are documents like any other: of a group the row of
     least id stays, a null id after all others and the first row on a tie.  Texts without words stay.
     """
-    line = F.monotonically_increasing_id().alias("_line")
-    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    numbered = staged(docs.select(line, F.col(id_col).cast("long").alias("_key"), F.col(text_col).alias("_text"), own), "minhash-numbered")
-    found = near_duplicates(numbered, shingle, percent, "_line", "_text").select(F.col("doc_id").alias("_line"), "component_id")
-    first = F.min(F.struct(F.col("_key").isNull(), "_key", "_line").alias("s"))
-    stays = numbered.select("_line", "_key").join(found, "_line").groupBy("component_id").agg(first.alias("least")).select(F.col("least._line").alias("_line"))
-    return numbered.join(staged(stays, "minhash-stays"), "_line", "left_semi").select(*(F.col("_row")[c].alias(c) for c in docs.columns))
+    spark, names = docs.sparkSession, docs.columns
+    numbered = staged(docs.toDF(*(f"c{k}" for k in range(len(names)))).withColumn("line", F.monotonically_increasing_id()), "minhash-numbered")
+    key, path = F.col(f"c{names.index(id_col)}").cast("long"), stage_path(spark, "minhash-stays")
+    with scratch():
+        found = near_duplicates(numbered, shingle, percent, "line", f"c{names.index(text_col)}").select(F.col("doc_id").alias("line"), "component_id")
+        first = F.min(F.struct(key.isNull(), key, "line"))
+        met = numbered.select("line", key.alias(f"c{names.index(id_col)}")).join(found, "line")
+        met.groupBy("component_id").agg(first.alias("least")).select(F.col("least.line").alias("line")).write.parquet(path)
+    stays = spark.read.schema("line long").parquet(path)
+    return numbered.join(stays, "line", "left_semi").drop("line").toDF(*names)
 
 
 def _likely(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
