@@ -228,7 +228,7 @@ def _cut(batches):
                 stays.append(not own or hit < first[d + 1] - first[d])
             valid = rows.column(rows.schema.get_field_index("text")).is_valid()
             new = pc.if_else(valid, pa.array(texts, pa.binary()).cast(pa.string()), pa.scalar(None, pa.string()))
-            keep = [k for k in range(rows.num_columns) if rows.schema.names[k] not in ("text", "spans")]
+            keep = [k for k in range(rows.num_columns) if rows.schema.names[k] not in ("text", "n_words", "spans", "items")]
             yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keep), new], names=[*(rows.schema.names[k] for k in keep), "text"]).filter(pa.array(stays))
 
 
@@ -382,12 +382,13 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text
     rows = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in zip(own, rest, strict=True)), F.col(text_col).alias("text"))
     only, blocks = _first_of(_blocks(benchmark, window, item_col, "text"))
     if only is not None:
-        met = rows.mapInArrow(_scan(only, [*own, "text"]), f"{schema}, n_words long, spans {_SPAN}, items array<string>").drop("n_words", "items")
+        # One function for both steps: chained ones would keep two workers a task.
+        search = _scan(only, [*own, "text"])
+        done = rows.mapInArrow(lambda batches: _cut(search(batches)), schema)
     else:
         keyed = rows.withColumn("key", _key("text"))
         hits = _hits(keyed.select("key", "text"), blocks).select("key", "spans")
-        met = keyed.join(broadcast_if_small(hits, BROADCAST_TEXTS), "key", "left").drop("key")
-    done = met.mapInArrow(_cut, schema)
+        done = keyed.join(broadcast_if_small(hits, BROADCAST_TEXTS), "key", "left").drop("key").mapInArrow(_cut, schema)
     return done.select(*(F.col("text").alias(c) if c == text_col else F.col(own[rest.index(c)]).alias(c) for c in docs.columns))
 
 

@@ -197,7 +197,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
         met = numbered.select("line", key.alias(f"c{names.index(id_col)}")).join(found, "line")
         met.groupBy("component_id").agg(first.alias("least")).select(F.col("least.line").alias("line")).write.parquet(path)
     stays = spark.read.schema("line long").parquet(path)
-    return numbered.join(stays, "line", "left_semi").drop("line").toDF(*names)
+    # One strategy at every size; lines are unique, so no task gets more than its share.
+    return numbered.join(stays.hint("merge"), "line", "left_semi").drop("line").toDF(*names)
 
 
 def _likely(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
