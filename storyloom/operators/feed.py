@@ -151,6 +151,11 @@ def rss_document(clusters: DataFrame, top: DataFrame, site: str, limit: int = 50
     return newest.agg(F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>Stories</title><link>{site}</link>'), body, F.lit("</channel></rss>")).alias("document"))
 
 
+def public_sources(sources: DataFrame, synthetic: str = "submissions") -> DataFrame:
+    """Approved sources by priority, without the synthetic one, with the public fields alone."""
+    return sources.filter((F.col("status") == "approved") & (F.col("name") != synthetic)).orderBy("priority", "id").select("id", "name", "category")
+
+
 def rate_windows(events: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
     """Fixed windows in which a client made more than ``limit`` requests; refused ones count."""
     return events.groupBy("user_id", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("user_id", F.col("w.start").alias("start"), "n")

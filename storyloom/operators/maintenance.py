@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text
+from ..schemas import category_rank
 
 
 def surviving(clusters: DataFrame, items: DataFrame, cluster_cut, item_cut) -> tuple[DataFrame, DataFrame]:
@@ -63,8 +64,36 @@ def split(variants: DataFrame, chosen: DataFrame) -> DataFrame:
     return marked.withColumn("cluster_id", F.when(stays, F.coalesce("new_cluster", "cluster_id")).otherwise(F.col("cluster_id"))).drop("variant_id", "new_cluster")
 
 
+def rebuilt(variants: DataFrame) -> DataFrame:
+    """Clusters from their members alone: times, count, unions of tokens and entities, and the headline.
+
+    The headline is that of the best source, then the earliest, then the least id; one that is
+    empty or ``Untitled`` only if there is no other.
+    """
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    titled = F.trim(F.coalesce("title", F.lit("")))
+    real = ((titled != "") & (F.lower(titled) != "untitled")).cast("int")
+    key = F.struct(-real, -category_rank("category"), F.coalesce("published_at", F.lit("9999-01-01").cast("timestamp_ntz")), F.col("id"))
+    return variants.groupBy("cluster_id").agg(
+        F.min("published_at").alias("first_seen_at"), F.max("published_at").alias("last_seen_at"), F.count("*").alias("source_count"), union("tokens"), union("entities"),
+        F.coalesce(F.nullif(F.min_by(titled, key), F.lit("")), F.lit("Untitled")).alias("headline"),
+    )
+
+
+def carried_tags(bridge: DataFrame, moved: DataFrame) -> DataFrame:
+    """A split's tags: those of every cluster, and the same for the clusters (new_cluster) that were cut from it (cluster_id)."""
+    cut = moved.select("cluster_id", "new_cluster").distinct()
+    return bridge.unionByName(bridge.join(cut, "cluster_id").drop("cluster_id").withColumnRenamed("new_cluster", "cluster_id").select(*bridge.columns))
+
+
+def unknown_members(variants: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of ``chosen`` (variant_id, cluster_id) that are no members of that cluster: a split of them must be refused."""
+    members = variants.select(F.col("id").alias("variant_id"), "cluster_id")
+    return chosen.join(members, ["variant_id", "cluster_id"], "left_anti")
+
+
 def recomputed(variants: DataFrame) -> DataFrame:
-    """Times, counts and unions of clusters from their members alone."""
+    """Times and counts of clusters from their members alone; ``rebuilt`` gives all derived columns."""
     return variants.groupBy("cluster_id").agg(F.min("published_at").alias("first_seen_at"), F.max("published_at").alias("last_seen_at"), F.count("*").alias("source_count"))
 
 

@@ -383,14 +383,26 @@ def _title_pairs(m: Model) -> DataFrame:
 
 
 _PAIRS = f"{TITLES}, pairs AS (SELECT * FROM (SELECT id, title AS l, lead(title) OVER (PARTITION BY source ORDER BY id) AS r FROM titles) WHERE r IS NOT NULL)"
-_LONG = lambda c: f"list_distinct(list_filter({_sql_words(c)}, lambda w: length(w) > 2 OR w = 'gm'))"
+_SUFFIX = "'^(.*?)\\s+([-–—|])\\s+(.+?)\\s*$'"
+
+
+def _sql_title_key(c: str) -> str:
+    """The whole rule of a matching title: a suffix after a bar goes, and one of at most six words that have a capital or a dot."""
+    cut = f"regexp_extract({c}, {_SUFFIX}, 1, 's')"
+    label = f"regexp_extract_all(regexp_extract({c}, {_SUFFIX}, 3, 's'), '[A-Za-z0-9.]+')"
+    named = f"len({label}) BETWEEN 1 AND 6 AND len(list_filter({label}, lambda w: NOT (contains(w, '.') OR regexp_matches(w, '[A-Z]')))) = 0"
+    kept = f"CASE WHEN regexp_matches({c}, {_SUFFIX}, 's') AND (regexp_extract({c}, {_SUFFIX}, 2, 's') = '|' OR {named}) THEN {cut} ELSE {c} END"
+    flat = f"trim(regexp_replace(regexp_replace(lower(translate({kept}, '’‘', )), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({flat}, '\\bgeneral manager\\b', 'gm', 'g'))"
+
+
+_LONG = lambda c: f"list_distinct(list_filter(string_split({_sql_title_key(c)}, ' '), lambda w: length(w) > 2 OR w = 'gm'))"
 
 
 @query(f"""WITH {_PAIRS}, s AS (SELECT id, {_LONG('l')} AS a, {_LONG('r')} AS b FROM pairs), k AS (SELECT id, len(a) AS n, len(b) AS m, len(list_intersect(a, b)) AS i FROM s)
 SELECT id, CAST(i AS INTEGER) AS shared, round(CASE WHEN n > 0 AND m > 0 THEN i / (n + m - i) ELSE 0 END, 6) AS jaccard, round(CASE WHEN least(n, m) > 0 THEN i / least(n, m) ELSE 0 END, 6) AS containment FROM k""")
 def title_token_similarity(m):
-    own = lambda c: F.array_distinct(F.filter(text.words(F.regexp_replace(F.lower(c), text.PUNCTUATION, " ")), lambda w: (F.length(w) > 2) | (w == "gm")))
-    a, b = own(F.col("left")), own(F.col("right"))
+    a, b = (text.title_tokens(text.title_key(F.col(c))) for c in ("left", "right"))
     return _title_pairs(m).select("id", similarity.shared(a, b).alias("shared"), F.round(similarity.jaccard(a, b), 6).alias("jaccard"), F.round(similarity.containment(a, b), 6).alias("containment"))
 
 
@@ -489,11 +501,11 @@ def _sql_count(keys: list[str]) -> str:
     return " + ".join(f"CAST(regexp_matches(low, '(^|[^\\p{{L}}\\p{{N}}_]){k}([^\\p{{L}}\\p{{N}}_]|$)') AS INTEGER)" for k in keys)
 
 
-_COUNTED = f"{TITLES}, counted AS (SELECT id, source, {', '.join(f'{_sql_count(v)} AS {k}' for k, v in VOCABULARY.items())} FROM (SELECT id, source, lower(title) AS low FROM titles))"
+_COUNTED = f"{TITLES}, counted AS (SELECT id, source, low, {', '.join(f'{_sql_count(v)} AS {k}' for k, v in VOCABULARY.items())} FROM (SELECT id, source, lower(title) AS low FROM titles))"
 _TYPED = "CASE " + " ".join(f"WHEN {k} > 0 AND {k} = greatest({', '.join(VOCABULARY)}) THEN '{k}'" for k in VOCABULARY) + " ELSE 'other' END"
 
 
-@query(f"WITH {_COUNTED} SELECT * EXCLUDE (source) FROM counted")
+@query(f"WITH {_COUNTED} SELECT * EXCLUDE (source, low) FROM counted")
 def event_keywords(m):
     return m.titles().select("id", *(n.alias(k) for k, n in classify.counts(F.col("title"), VOCABULARY)))
 
@@ -503,25 +515,24 @@ def event_type(m):
     return m.titles().select("id", classify.event_type(F.col("title"), VOCABULARY).alias("event_type"))
 
 
-@query(f"""WITH {_COUNTED} SELECT id, array_to_string(list_filter([{', '.join(f"CASE WHEN {k} > 0 THEN '{k.capitalize()}' END" for k in VOCABULARY if k != 'opinion')}, CASE WHEN source IN ('src1', 'src4', 'src7') AND injury > 0 THEN 'Rumors' END], lambda x: x IS NOT NULL), '|') AS tags FROM counted""")
+@query(f"""WITH {_COUNTED} SELECT id, array_to_string(list_filter([{', '.join(f"CASE WHEN {k} > 0 THEN '{k.capitalize()}' END" for k in VOCABULARY if k != 'opinion')}, CASE WHEN source IN ('src1', 'src4', 'src7') AND (contains(low, 'with ') OR contains(low, ' avec ') OR contains(low, 'ing the')) THEN 'Rumors' END], lambda x: x IS NOT NULL), '|') AS tags FROM counted""")
 def tags_keyword(m):
     category = F.when(F.col("source").isin("src1", "src4", "src7"), "press").otherwise("other")
-    low = F.lower("title")
-    phrase = F.when(low.rlike(r"(?U)\b(with|from)\b"), F.lit("reportedly")).otherwise("")
-    plain = classify.tags(F.col("title"), category, VOCABULARY)
-    rumour = F.when((phrase != "") & (category == "press"), F.array(F.lit("Rumors"))).otherwise(F.array().cast("array<string>"))
-    return m.titles().select("id", strings(F.concat(plain, rumour)).alias("tags"))
+    return m.titles().select("id", strings(classify.tags(F.col("title"), category, VOCABULARY, ["with ", " avec ", "ing the"])).alias("tags"))
 
 
 _NAMES = [(1, "The and"), (2, "Onre"), (3, "Le la"), (4, "Der die"), (5, "Anor thsteer"), (6, "Que los")]
 _DICT = ", ".join(f"({i}, '{n.lower()}')" for i, n in _NAMES)
+_EDGED = "'(^|[\\s,.:;!?''\"()])' || {} || '([\\s,.:;!?''\"()]|$)'"
 
 
-@query(f"""WITH {TITLES}, d(entity_id, name) AS (VALUES {_DICT}) SELECT id, CAST(entity_id AS BIGINT) AS entity_id, true AS "full" FROM titles, d
-WHERE regexp_matches(lower(title), '(^|[\\s,.:;!?''"()])' || name || '([\\s,.:;!?''"()]|$)')""")
+@query(f"""WITH t AS (SELECT doc_id AS id, lower(coalesce(text, '')) AS low FROM documents), d(entity_id, name) AS (VALUES {_DICT}),
+terms AS (SELECT entity_id, name AS term, true AS "full" FROM d UNION ALL SELECT entity_id, split_part(name, ' ', -1), false FROM d WHERE contains(name, ' ') AND length(split_part(name, ' ', -1)) >= 5)
+SELECT id, CAST(entity_id AS BIGINT) AS entity_id, bool_or("full") AS "full" FROM t JOIN terms ON regexp_matches(low, {_EDGED.format('term')}) AND ("full" OR contains(low, 'tion') OR contains(low, 'keit')) GROUP BY ALL""")
 def dictionary_entities(m):
+    """Names in whole texts; a last name counts where the text has a context keyword."""
     names = m.spark.createDataFrame(_NAMES, "id long, name string")
-    return classify.entities(m.titles().select("id", F.col("title").alias("text")), names, context=["no such keyword"])
+    return classify.entities(m.table("documents").select(F.col("doc_id").alias("id"), "text"), names, context=["tion", "keit"])
 
 
 @query()
@@ -635,21 +646,17 @@ def validations_page(m):
     return m.logs().filter("result = 'rejected'").orderBy(F.desc("created_at"), "id").offset(100).limit(50).select("id", "method", "result", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
 
 
-@query("""WITH t AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'trade' WHEN 1 THEN 'signing' WHEN 2 THEN 'game' ELSE 'other' END AS a, CASE o_custkey % 3 WHEN 0 THEN 'signing' WHEN 1 THEN 'lineup' ELSE 'other' END AS b, (o_orderkey % 11) / 10.0 AS e, (o_custkey % 13) / 12.0 AS t FROM orders),
+@query("""WITH t AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'trade' WHEN 1 THEN 'signing' WHEN 2 THEN 'game' ELSE 'other' END AS a, CASE o_custkey % 3 WHEN 0 THEN 'signing' WHEN 1 THEN 'lineup' ELSE 'other' END AS b, (o_orderkey % 11) / 10.0 AS e, (o_custkey % 13) / 12.0 AS t, (o_orderkey % 7) / 6.0 AS l, o_custkey % 2 = 0 AS c FROM orders),
 k AS (SELECT *, CASE WHEN a = b THEN 1.0 WHEN a || '-' || b IN ('trade-signing', 'signing-other', 'game-lineup', 'other-signing') THEN 0.5 ELSE 0.0 END AS k FROM t)
-SELECT id, CAST(k AS DOUBLE) AS k, round(CAST(0.55 * e + 0.35 * t + 0.10 * k AS DOUBLE), 6) AS score FROM k""")
+SELECT id, CAST(k AS DOUBLE) AS k, round(CAST(CASE WHEN id % 3 = 0 AND c THEN 0.55 * e + 0.35 * t + 0.10 * k WHEN id % 3 = 0 THEN (0.35 * t + 0.10 * k) / 0.45 WHEN id % 3 = 1 AND c THEN 0.45 * e + 0.25 * t + 0.10 * k + 0.20 * l
+WHEN id % 3 = 1 THEN 0.55 * t + 0.15 * k + 0.30 * l WHEN c THEN 0.35 * e + 0.20 * t + 0.10 * k + 0.35 * l ELSE 0.30 * t + 0.10 * k + 0.60 * l END AS DOUBLE), 6) AS score FROM k""")
 def score_components(m):
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     a = F.when(o % 4 == 0, "trade").when(o % 4 == 1, "signing").when(o % 4 == 2, "game").otherwise("other")
     b = F.when(c % 3 == 0, "signing").when(c % 3 == 1, "lineup").otherwise("other")
     k = similarity.event_compatibility(a, b)
-    s = similarity.score((o % 11) / F.lit(10.0).cast("double"), (c % 13) / F.lit(12.0).cast("double"), k, F.lit(0.0), F.lit(True), F.lit("none"))
+    s = similarity.score((o % 11) / F.lit(10.0).cast("double"), (c % 13) / F.lit(12.0).cast("double"), k, (o % 7) / F.lit(6.0).cast("double"), c % 2 == 0, F.when(o % 3 == 0, "none").when(o % 3 == 1, "summary_headline").otherwise("summary_pair"))
     return m.table("orders").select(o.alias("id"), k.alias("k"), F.round(s, 6).alias("score"))
 
 
-@query()
-def rss_document(m):
-    return feed.rss_document(m.clusters(), feed.top_variants(m.variants()), "https://example.com")
-
-
 __all__ = ["ORACLE_SQL", "QUERIES", "views"]

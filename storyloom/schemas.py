@@ -34,7 +34,6 @@ class Thresholds:
 
     score: float = 0.62
     entity_overlap: float = 0.50
-    tokens_legacy: float = 0.40
     tokens: float = 0.55
     summary_override: float = 0.70
     title: float = 0.85

@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__ as registry
 from storyloom.operators import clustering
-from storyloom.plans import catalog
+from storyloom.plans import catalog, desk  # noqa: F401
 
 from conftest import DATA, ROOT
 
