@@ -392,7 +392,7 @@ def _sql_title_key(c: str) -> str:
     label = f"regexp_extract_all(regexp_extract({c}, {_SUFFIX}, 3, 's'), '[A-Za-z0-9.]+')"
     named = f"len({label}) BETWEEN 1 AND 6 AND len(list_filter({label}, lambda w: NOT (contains(w, '.') OR regexp_matches(w, '[A-Z]')))) = 0"
     kept = f"CASE WHEN regexp_matches({c}, {_SUFFIX}, 's') AND (regexp_extract({c}, {_SUFFIX}, 2, 's') = '|' OR {named}) THEN {cut} ELSE {c} END"
-    flat = f"trim(regexp_replace(regexp_replace(lower(translate({kept}, '’‘', )), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+    flat = f"trim(regexp_replace(regexp_replace(lower(replace(replace({kept}, '’', ''''), '‘', '''')), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
     return f"trim(regexp_replace({flat}, '\\bgeneral manager\\b', 'gm', 'g'))"
 
 
