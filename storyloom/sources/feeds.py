@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text, udfs, urls
+from ..plans.staging import broadcast_if_small
 
 # Named references that XML lacks.
 NAMED = {
@@ -17,7 +18,10 @@ DATE_KEYS = [
     ("name", "publishdate"), ("name", "publish-date"), ("name", "sailthru.date"), ("name", "date"), ("name", "DC.date.issued"),
 ]
 TIERS = {1: 10, 2: 50, 3: 100}
-FEED = "channel struct<title:string,link:string,item:array<struct<title:string,link:string,description:string,guid:string,pubDate:string>>>"
+_ITEM = "title:string,link:string,description:string,`content:encoded`:string,guid:string,pubDate:string,`dc:date`:string"
+_LINK = "array<struct<_href:string,_rel:string>>"
+#: RSS has items in a channel (version 1 beside it), Atom has entries in the root; a dialect's fields are null in the others.
+FEED = f"channel struct<title:string,link:string,item:array<struct<{_ITEM}>>>, item array<struct<{_ITEM}>>, link {_LINK}, entry array<struct<title:string,link:{_LINK},summary:string,content:string,id:string,published:string,updated:string>>"
 
 
 def repaired(content: Column) -> Column:
@@ -35,10 +39,19 @@ def feed_date(c: Column) -> Column:
 
 
 def entries(landed: DataFrame, sources: DataFrame) -> DataFrame:
-    """Items of landed feed documents (source_id, content binary): url, title, description, item id, date."""
+    """Items of landed feed documents (source_id, content binary), RSS or Atom: url, title, description, item id, date.
+
+    A dialect's fields come under one name: an entry's link is its alternate one, its description the
+    summary, else the content; its date the published one, else the updated one.
+    """
     parsed = landed.select("source_id", F.from_xml(repaired(F.col("content")), FEED, {"mode": "PERMISSIVE"}).alias("f"))
-    each = parsed.select("source_id", F.col("f.channel.link").alias("channel"), F.posexplode("f.channel.item").alias("position", "e"))
-    each = each.join(F.broadcast(sources.select(F.col("id").alias("source_id"), "base_url")), "source_id")
+    page = lambda links: F.get(F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"]
+    one = lambda title, link, description, guid, date: F.struct(title.alias("title"), link.alias("link"), description.alias("description"), guid.alias("guid"), date.alias("pubDate"))
+    items = F.coalesce("f.channel.item", "f.item")
+    rss = F.transform(items, lambda e: one(e["title"], e["link"], F.coalesce(e["description"], e["content:encoded"]), e["guid"], F.coalesce(e["pubDate"], e["dc:date"])))
+    atom = F.transform("f.entry", lambda e: one(e["title"], page(e["link"]), F.coalesce(e["summary"], e["content"]), e["id"], F.coalesce(e["published"], e["updated"])))
+    each = parsed.select("source_id", F.coalesce("f.channel.link", page(F.col("f.link"))).alias("channel"), F.posexplode(F.coalesce(rss, atom)).alias("position", "e"))
+    each = each.join(broadcast_if_small(sources.select(F.col("id").alias("source_id"), "base_url")), "source_id")
     title = udfs.unescape(F.regexp_replace(F.coalesce("e.title", F.lit("")), "<[^>]+>", ""))
     description = F.coalesce("e.description", F.lit(""))
     return each.select(

@@ -179,3 +179,18 @@ def test_alerts_of_stretches_equal_one_pass(spark):
                 last = t
     got = [tuple(r) for r in jobs.alerts_batch(spark.createDataFrame(rows, "condition string, at long")).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_atom_and_other_dialects(spark):
+    atom = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>T</title><link rel="self" href="https://x.com/feed"/><link href="https://x.com/"/>
+    <entry><title type="html">One &amp;amp; two</title><link rel="enclosure" href="https://x.com/a.mp3"/><link rel="alternate" href="/one"/><id>urn:1</id><updated>2024-05-02T10:00:00Z</updated><published>2024-05-01T10:00:00Z</published><summary>About it</summary></entry>
+    <entry><title></title><link href="https://y.com/two"/><id>urn:2</id><updated>2024-05-03T10:00:00+02:00</updated><content>&lt;p&gt;Only content here&lt;/p&gt;</content></entry></feed>"""
+    rdf = """<rdf:RDF xmlns:rdf="r" xmlns:dc="d"><channel><title>C</title><link>https://z.com</link></channel><item><title>Old one</title><link>https://z.com/1</link><dc:date>2024-01-01T00:00:00Z</dc:date></item></rdf:RDF>"""
+    encoded = """<rss xmlns:content="c"><channel><link>https://w.com</link><item><title>E</title><link>/e</link><content:encoded>Whole text</content:encoded><guid>g</guid><pubDate>Wed, 01 May 2024 10:00:00 GMT</pubDate></item></channel></rss>"""
+    landed = spark.createDataFrame([(1, bytearray(atom.encode())), (2, bytearray(rdf.encode())), (3, bytearray(encoded.encode()))], "source_id long, content binary")
+    sources = spark.createDataFrame([(k, "https://base.com") for k in (1, 2, 3)], "id long, base_url string")
+    got = sorted((r["source_id"], r["position"], r["original_url"], r["raw_title"], r["raw_description"], r["source_item_id"], r["published_at"].strftime("%Y-%m-%d %H")) for r in feeds.entries(landed, sources).collect())
+    assert got == [
+        (1, 0, "https://x.com/one", "One & two", "About it", "urn:1", "2024-05-01 10"), (1, 1, "https://y.com/two", "Only content here", "<p>Only content here</p>", "urn:2", "2024-05-03 08"),
+        (2, 0, "https://z.com/1", "Old one", "", "https://z.com/1", "2024-01-01 00"), (3, 0, "https://w.com/e", "E", "Whole text", "g", "2024-05-01 10"),
+    ]
