@@ -284,6 +284,8 @@ def _scan(phrases: Phrases, extra: list[str]):
                     held, indexed, count = [], 0, 0
         if held:
             yield from give(held)
+        held = None
+        words.release()
 
     return of
 

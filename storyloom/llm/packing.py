@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import words
 from .cluster import bounded_batches, ranked, staged
 from .tokens import encoder
 from .trees import Rooms
@@ -57,6 +58,7 @@ def _pieces(path: str, drops_space: bool, end_id: int, size: int):
                     [rows.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array((ends - begins)[doc])],
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
+        words.release()
 
     return of
 

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from . import words
 from .cluster import bounded_batches, partitions, stage_path
 from .tokens import encoder
 
@@ -179,6 +180,7 @@ def _write(path: str, drops_space: bool, end_id: int):
                     yield flush()
         if docs:
             yield flush()
+        words.release()
 
     return of
 

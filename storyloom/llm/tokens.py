@@ -49,14 +49,16 @@ class Encoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.known: dict[int, int] = {}
+        # Hashes of known units in order, and where each stands in ``at``; 16 bytes a unit.
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, dtype="<u4"), 0
         self.at = np.zeros((2, 1 << 14), dtype=np.int64)
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, places: np.ndarray, texts: list[str]) -> None:
+        """Adds units by their hashes, which go before ``places`` in the known ones."""
         ids = self._plain(texts)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
@@ -68,7 +70,7 @@ class Encoder:
         n = len(self.known)
         self.at[0, n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
         self.at[1, n : n + len(keys)] = sizes
-        self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.known, self.slot = np.insert(self.known, places, keys), np.insert(self.slot, places, np.arange(n, n + len(keys)))
         self.used += len(flat)
 
     def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,18 +99,18 @@ class Encoder:
         keys, where = np.unique(words.hashes(data, starts, stops), return_inverse=True)
         if len(self.known) + len(keys) > CACHE_UNITS:
             self._empty()
-        listed = keys.tolist()
-        slots = [self.known.get(k, -1) for k in listed]
-        new = [k for k, s in enumerate(slots) if s < 0]
-        if new:
+        places = np.searchsorted(self.known, keys)
+        there = np.zeros(len(keys), bool)
+        there[places < len(self.known)] = self.known[places[places < len(self.known)]] == keys[places < len(self.known)]
+        new = np.flatnonzero(~there)
+        if len(new):
             some = np.zeros(len(keys), dtype=np.int64)
             some[where[::-1]] = np.arange(len(where))[::-1]
             some = some[new]
             raw = data.tobytes()
             # A cut never parts the bytes of a character, so each unit decodes alone.
-            self._learn([listed[k] for k in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[some].tolist(), stops[some].tolist(), strict=True)])
-            slots = [self.known[k] for k in listed]
-        slot = np.array(slots, dtype=np.int64)[where] if len(keys) else np.zeros(0, np.int64)
+            self._learn(keys[new], places[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[some].tolist(), stops[some].tolist(), strict=True)])
+        slot = self.slot[np.searchsorted(self.known, keys)][where] if len(keys) else np.zeros(0, np.int64)
         begin, size = self.at[0, slot], self.at[1, slot]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
