@@ -542,12 +542,19 @@ def gestalt_title_pairs(m):
 
 
 def _articles(m: Model) -> tuple[DataFrame, DataFrame]:
-    """Documents as articles: two an hour, entities by frequent words, event types by vocabulary."""
+    """Documents as articles: two an hour, with their whole texts; entities by frequent words, event types by
+    vocabulary, a shared syndication id on some, summaries and story keys on others."""
     t = m.titles()
     names = m.spark.createDataFrame([(1, "Onre", "player"), (2, "Thti", "player"), (3, "Team", "team")], "id long, name string, entity_type string")
     own = F.filter(F.array(*(F.when(F.lower("title").contains(n), F.lit(k).cast("long")) for k, n in ((1, "onre"), (2, "thti"), (3, "the")))), lambda x: x.isNotNull())
     at = F.timestamp_seconds(F.lit(1704067200) + F.floor(F.col("id") / 2) * 3600)
-    return t.select("id", F.col("id").alias("arrival"), F.concat(F.lit("https://x.example.com/"), F.col("id").cast("string")).alias("url"), "title", F.col("title").alias("text"), at.alias("published_at"), classify.event_type(F.col("title"), VOCABULARY).alias("event_type"), F.lit("press").alias("category"), own.alias("entities"), F.lit(None).cast("string").alias("llm_summary"), F.lit(None).cast("string").alias("story_key")), names
+    h = F.md5(F.floor(F.col("id") / 40).cast("string").cast("binary"))
+    shared = F.concat(F.lit("https://x.example.com/"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-4"), F.substring(h, 14, 3), F.lit("-a"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+    url = F.when(F.col("id") % 20 == 7, shared).otherwise(F.concat(F.lit("https://x.example.com/"), F.col("id").cast("string")))
+    summary = F.when((F.col("id") % 4 == 0) & (F.length("title") > 20), F.substring("title", 1, 90))
+    key = F.when(F.col("id") % 6 == 0, text.story_key(F.substring_index("title", " ", 3)))
+    category = F.when(F.col("id") % 9 == 0, "official").when(F.col("id") % 2 == 0, "press").otherwise("other")
+    return t.select("id", F.col("id").alias("arrival"), url.alias("url"), "title", "text", at.alias("published_at"), classify.event_type(F.col("title"), VOCABULARY).alias("event_type"), category.alias("category"), own.alias("entities"), summary.alias("llm_summary"), key.alias("story_key")), names
 
 
 def _assigned(m: Model) -> DataFrame:
