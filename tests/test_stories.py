@@ -1,8 +1,11 @@
+import random
 from datetime import datetime, timedelta
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from storyloom.functions.similarity import COMPATIBLE
 from storyloom.operators import clustering, dedupe, evaluation
 from storyloom.sources import feeds
 
@@ -66,6 +69,46 @@ def test_near_miss_becomes_one_relation(spark):
     assert len(stories) == 2 and list(relations) == [(1, 2)] and 0.45 <= relations[1, 2] < 1
 
 
+def told(id, title, hours, event):
+    words = title.split()
+    own = {"key": title, "key_words": words, "topic": words[:4], "head": words, "tokens": words, "names": words[:1], "s_key": ""}
+    bare = dict.fromkeys(("people", "entities", "strip", "s_words", "s_topic", "s_names"), ())
+    return bare | own | {"id": id, "arrival": id, "published": hours * clustering.HOUR, "event_type": event, "category": "press", "title": title, "uuid": None, "game": None, "summary": None, "story_key": None}
+
+
+def test_title_index_against_every_title():
+    """The index leaves out no title that a rule holds for, also after stories are forgotten."""
+    random.seed(11)
+    words = [a + b + "rk" for a in "bcdfgh" for b in "aeiou"]
+    fold, seen, routes = clustering.Fold(), [], set()
+    for k in range(700):
+        title = " ".join(random.sample(words, random.randint(1, 9)))
+        if seen and random.random() < 0.6:
+            base = random.choice(seen[-60:]).split()
+            how = random.randrange(3)
+            title = " ".join([*base, random.choice(words)] if how == 0 else random.sample(base, len(base)) if how == 1 else [w[:-1] + "p" if random.random() < 0.2 else w for w in base])
+        seen.append(title)
+        v = told(k, title, k, random.choice(["signing", "trade", "other", "opinion"]))
+        window = 48 if v["event_type"] == "opinion" else 72
+        near = {i: s for i, s in fold.stories.items() if abs(s["first"] - v["published"]) <= window * clustering.HOUR}
+        held = {}
+        for i, s in near.items():
+            for m in s["titles"].values():
+                a, b = set(v["key_words"]), set(m["key_words"])
+                jaccard, within, ratio = len(a & b) / len(a | b), len(a & b) / min(len(a), len(b)), SequenceMatcher(None, v["key"], m["key"]).ratio()
+                named = a & b and v["names"][0] in m["names"] and len(a & b) >= 4 and jaccard >= 0.4 and (v["event_type"] == s["event"] or {v["event_type"], s["event"]} in map(set, COMPATIBLE))
+                contained = len(a & b) >= 6 and within >= 0.9 and jaccard >= 0.55
+                if ratio >= 0.85 or contained or named:
+                    held.setdefault((max(ratio, within), jaccard, ratio), (i, "title" if ratio >= 0.85 else "containment" if contained else "title_name"))
+        story, route, _ = fold.add(v)
+        routes.add(route)
+        assert (story, route) == held[max(held)] if held else route in ("score", "new_cluster")
+        if k % 150 == 149:
+            fold.expire(v["published"] - 100 * clustering.HOUR)
+            assert set(fold.owner) == set(fold.titles) and set(fold.owner.values()) <= set(fold.stories)
+    assert {"title", "containment", "title_name", "new_cluster"} <= routes
+
+
 def test_labelled_pairs(spark):
     import pathlib
 
@@ -102,8 +145,6 @@ def brute_greedy(rows):
 
 
 def test_greedy_dedupe_against_brute_force(spark):
-    import random
-
     random.seed(5)
     rows = [(k, random.randint(1, 3), random.choice([None, "a", "b", "c", "d", "e"]), f"u{random.randint(1, 60)}", random.choice(["", *(f"t{x}" for x in range(25))])) for k in range(120)]
     items = spark.createDataFrame(rows, "id long, source_id long, source_item_id string, canonical_url string, raw_title string")
