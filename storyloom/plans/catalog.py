@@ -11,7 +11,7 @@ from ..operators import classify, clustering, dedupe, evaluation, feed, maintena
 from ..schemas import SOURCE_CATEGORY, category_rank, ordinal
 from ..streaming import jobs
 from . import views
-from .staging import stage_path
+from .staging import stage_path, staged
 from .views import AS_OF, CLUSTERS, ENTITIES, LOGS, RELATIONS, SOURCES, TITLES, VARIANTS, Model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -554,7 +554,7 @@ def _articles(m: Model) -> tuple[DataFrame, DataFrame]:
     summary = F.when((F.col("id") % 4 == 0) & (F.length("title") > 20), F.substring("title", 1, 90))
     key = F.when(F.col("id") % 6 == 0, text.story_key(F.substring_index("title", " ", 3)))
     category = F.when(F.col("id") % 9 == 0, "official").when(F.col("id") % 2 == 0, "press").otherwise("other")
-    return t.select("id", F.col("id").alias("arrival"), url.alias("url"), "title", "text", at.alias("published_at"), classify.event_type(F.col("title"), VOCABULARY).alias("event_type"), category.alias("category"), own.alias("entities"), summary.alias("llm_summary"), key.alias("story_key")), names
+    return t.select("id", F.col("id").alias("arrival"), url.alias("url"), "title", "text", at.alias("published_at"), classify.event_type(F.col("title"), VOCABULARY).alias("event_type"), category.alias("category"), own.alias("entities"), summary.alias("llm_summary"), key.alias("story_key"), "source"), names
 
 
 def _assigned(m: Model) -> DataFrame:
@@ -626,6 +626,28 @@ def stream_dedupe(m):
     return _streamed(m, "events", lambda s: s.select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]), "append", "dedupe").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
+@query()
+def stream_clusters_equal_batch(m):
+    """Stories of each source as keyed state, fed in four slices by arrival, beside those of the batch fold.
+
+    The stream stops after every slice and goes on from its log and state in the shared folder.
+    """
+    featured = staged(clustering.features(*_articles(m), keep=("source",)), "stream-articles")
+    folder = stage_path(m.spark, "stream-stories")
+    edges = [None, *featured.approxQuantile("arrival", [0.25, 0.5, 0.75], 0.01), None]
+    for low, high in zip(edges, edges[1:], strict=False):
+        own = featured
+        own = own if low is None else own.filter(F.col("arrival") > low)
+        own = own if high is None else own.filter(F.col("arrival") <= high)
+        own.write.mode("append").parquet(f"{folder}/in")
+        placed = jobs.stories(jobs.file_stream(m.spark, f"{folder}/in", featured.schema, files=1_000), "source")
+        sink = placed.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log")
+        jobs.run(sink.trigger(availableNow=True).start())
+    streamed = m.spark.read.schema(placed.schema).parquet(f"{folder}/out")
+    batch = clustering.assign(featured, group="source").filter("kind = 'member'").select("id", F.col("other").alias("batch_id"))
+    return streamed.join(batch, "id", "full").select("id", "cluster_id", "route", F.col("cluster_id").eqNullSafe(F.col("batch_id")).alias("same"))
+
+
 @query(f"WITH {SOURCES} SELECT category, count(*) AS n, string_agg(name, '|' ORDER BY name) AS names FROM sources WHERE status = 'approved' GROUP BY 1")
 def sources_by_category(m):
     own = m.sources().filter("status = 'approved'").groupBy("category").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("name")).alias("names"))

@@ -57,6 +57,13 @@ def test_gestalt_of_every_title_pair(spark):
     assert any(r["jaccard"] == 0 and r["ratio"] > 0 for r in got)
 
 
+def test_stories_of_each_source_as_stream(spark):
+    rows = catalog.QUERIES["stream_clusters_equal_batch"](spark, DATA).collect()
+    ids = {r["id"] for r in rows}
+    assert len(rows) == len(ids) == catalog.Model(spark, DATA).table("documents").count()
+    assert all(r["same"] and r["cluster_id"] in ids for r in rows) and len({r["route"] for r in rows}) > 1
+
+
 def test_entry(spark):
     assert registry.entry(spark).count() > 0
     assert set(registry.oracle_sql()) <= set(registry.queries())
